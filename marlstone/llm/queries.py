@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import secrets, urlfilter
+from marlstone.llm import licences, secrets, spbpe, urlfilter
 from marlstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = """SELECT * FROM VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/') AS t(verdict, host, path)"""
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = spbpe.decode_ids(spbpe.encode_texts(table(spark, sf_dir, "documents"), *how), *how)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
 
@@ -67,8 +74,30 @@ FROM s
 """
 
 
+def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, sf_dir, "documents"))
+    phrases = F.array(*[F.lit(p) for p, _ in licences.BASE_PHRASES])
+    base = F.filter("places", lambda p: F.array_contains(phrases, p["phrase"]))
+    starts = F.transform(base, lambda p: p["word"])
+
+    def joined(labels: Column) -> Column:
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    own = F.concat(F.transform("places", lambda p: p["label"]), F.flatten(F.transform("tags", lambda t: t["identifiers"])))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        joined(F.transform(base, lambda p: p["label"])).alias("base_labels"),
+        joined(own).alias("labels"),
+        "score",
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op6_url_filter, op7_secret_scan)}
+    return {q.__name__: q for q in (op4_byte_bpe, op6_url_filter, op7_secret_scan, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
