@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import licences, secrets, spbpe, urlfilter
+from marlstone.llm import licences, ppm, quality, secrets, spbpe, urlfilter
 from marlstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,24 @@ Query = Callable[[SparkSession, str], DataFrame]
 URL_RULES = """SELECT * FROM VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/') AS t(verdict, host, path)"""
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return quality.judge(docs, quality.fit(docs, trusted))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     how = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     coded = spbpe.decode_ids(spbpe.encode_texts(table(spark, sf_dir, "documents"), *how), *how)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ppm.identify(docs, ppm.learn(docs))
+    return found.select("doc_id", ppm.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), spark.sql(URL_RULES))
 
@@ -97,7 +109,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op4_byte_bpe, op6_url_filter, op7_secret_scan, op10_licence_scan)}
+    return {q.__name__: q for q in (op1_quality_rules, op4_byte_bpe, op5_language_id, op6_url_filter, op7_secret_scan, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
