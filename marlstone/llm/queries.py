@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import licences, ppm, quality, secrets, spbpe, urlfilter
+from marlstone.llm import licences, packing, ppm, quality, secrets, spbpe, tokenfiles, urlfilter
 from marlstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,17 @@ FROM s
 """
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokenfiles.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return packing.pack(pieces, documents=docs.count())
+
+
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan_licences(table(spark, sf_dir, "documents"))
     phrases = F.array(*[F.lit(p) for p, _ in licences.BASE_PHRASES])
@@ -109,7 +120,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op4_byte_bpe, op5_language_id, op6_url_filter, op7_secret_scan, op10_licence_scan)}
+    return {q.__name__: q for q in (op1_quality_rules, op4_byte_bpe, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_files, op9_best_two_fit, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
