@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one call of an operator's function gets, unless one row holds more.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK) -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ class CachedEncoder:
     ``longest`` are not kept. ids are little-endian unsigned integers of ``dtype``.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], *, dtype: str = "<u4", most: int = 400_000, longest: int = 64):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], *, dtype: str = "<u4", most: int = 200_000, longest: int = 64):
         self.split, self.encode, self.dtype, self.most, self.longest = split, encode, np.dtype(dtype), most, longest
         self.cache: dict[str, bytes] = {}
 
