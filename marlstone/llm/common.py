@@ -56,29 +56,35 @@ def map_texts(df: DataFrame, function: Callable[[list], dict], fields: list[T.St
 class CachedEncoder:
     """Encodes texts piece by piece, each distinct piece once while it is cached.
 
-    split: a text's pieces, each of which is encoded for itself. encode: the ids of a list of
-    pieces. most: entries kept; the cache is emptied at that number. Longer pieces than
-    ``longest`` are not kept. ids are little-endian unsigned integers of ``dtype``.
+    split: a text's pieces, each of which is encoded for itself. encode: of a list of pieces all
+    ids one after another, and the number of ids of each. Where there are more than ``most``
+    entries, those stay that more than one call has met. Pieces longer than ``longest`` are not
+    kept. ids are little-endian unsigned integers of ``dtype``.
     """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[list[int]]], *, dtype: str = "<u4", most: int = 200_000, longest: int = 64):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], *, dtype: str = "<u4", most: int = 400_000, longest: int = 64):
         self.split, self.encode, self.dtype, self.most, self.longest = split, encode, np.dtype(dtype), most, longest
         self.cache: dict[str, bytes] = {}
+        self.again: set[str] = set()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [self.split(t) for t in texts]
         cache = self.cache
         if len(cache) > self.most:
-            cache.clear()
-        new = set().union(*cut).difference(cache)
+            kept = self.again if len(self.again) < self.most // 2 else ()
+            cache = self.cache = {piece: cache[piece] for piece in kept}
+            self.again = set()
+        wanted = set().union(*cut)
+        new = wanted.difference(cache)
+        self.again.update(wanted.difference(new))
         extra = []
         if new:
             pieces = list(new)
-            found = self.encode(pieces)
-            flat = np.fromiter((i for x in found for i in x), dtype=self.dtype).tobytes()
-            at, width = 0, self.dtype.itemsize
-            for piece, ids in zip(pieces, found, strict=True):
-                end = at + width * len(ids)
+            ids, sizes = self.encode(pieces)
+            flat = ids.astype(self.dtype).tobytes()
+            ends = (np.cumsum(sizes) * self.dtype.itemsize).tolist()
+            at = 0
+            for piece, end in zip(pieces, ends, strict=True):
                 cache[piece] = flat[at:end]
                 at = end
                 if len(piece) > self.longest:
@@ -87,4 +93,5 @@ class CachedEncoder:
         out = [b"".join(map(get, pieces)) for pieces in cut]
         for piece in extra:
             del cache[piece]
+        self.again.difference_update(extra)
         return out

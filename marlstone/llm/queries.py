@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import licences, neardup, packing, ppm, quality, secrets, spbpe, tokenfiles, urlfilter
+from marlstone.llm import imagecopies, licences, neardup, packing, ppm, quality, secrets, spbpe, tokenfiles, urlfilter
 from marlstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,13 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each vector of ``embeddings`` is drawn as one, and every 20th
+    also as an edited copy; each of these is a row of the result."""
+    media = imagecopies.drawn_media(table(spark, sf_dir, "embeddings"))
+    return imagecopies.image_copies(media, id_col="vec_id", media_col="media", keep=("edited",))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = spbpe.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decode=True)
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -123,7 +130,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_quality_rules, op2_near_duplicates, op4_byte_bpe, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_files, op9_best_two_fit, op10_licence_scan)}
+    return {q.__name__: q for q in (op1_quality_rules, op2_near_duplicates, op3_image_copies, op4_byte_bpe, op5_language_id, op6_url_filter, op7_secret_scan, op8_token_files, op9_best_two_fit, op10_licence_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import struct
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -92,8 +93,10 @@ def _codec(path: str, pattern: str) -> tuple[CachedEncoder, list[bytes]]:
     model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
     pieces = [unmapped(p) if (p := model.id_to_piece(i))[0] != "<" else b"" for i in range(model.get_piece_size() - 1)]
 
-    def encode(words: list[str]) -> list[list[int]]:
-        return model.encode([mapped(w.encode("utf-8", "surrogatepass")) for w in words], num_threads=1)
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = model.encode([mapped(w.encode("utf-8", "surrogatepass")) for w in words], num_threads=1)
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
     return CachedEncoder(regex.compile(pattern).findall, encode), pieces
 

@@ -48,11 +48,11 @@ from marlstone.llm.common import CachedEncoder, chunks
 
 MAGIC = b"MTF1"
 #: Ids of a block.
-BLOCK = 4096
+BLOCK = 2048
 #: Ids of a file, at most, unless one document has more. Bounds what a task holds.
-FILE = 6 << 20
+FILE = 12 << 20
 #: Slots of each prediction table of a block; states of a block's weights; shift of a hash.
-_SLOTS, _STATES, _SHIFT = 1024, 32, 54
+_SLOTS, _STATES, _SHIFT = 512, 32, 55
 _HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64).view(np.int64)
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
 _HEAD = struct.Struct("<4sQIIIII")
@@ -65,15 +65,35 @@ SPACED_WORDS = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
 BARE_WORDS = f"[^{_SPACE}]+"
 
 
+#: Pieces that the library gets in one string.
+_JOINED = 1000
+
+
 @lru_cache(maxsize=4)
 def library_encoder(path: str, pieces: str) -> CachedEncoder:
-    """The tokenizers library's encoding of texts, by distinct pieces that it encodes separately."""
+    """The tokenizers library's encoding of texts, by distinct pieces that it encodes separately.
+
+    The library takes many pieces at once faster than one by one: they are joined by a special
+    token, which it never merges with its neighbours, and whose id parts the ids again.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
-    return CachedEncoder(re.compile(pieces).findall, lambda words: [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)], dtype="<u2" if model.get_vocab_size() <= 1 << 16 else "<u4", longest=32)
+    plain, joining = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True  # their strings in a text are ordinary text
+    special = {t.content: i for i, t in joining.get_added_tokens_decoder().items() if t.special}
+    mark, mark_id = next(((c, i) for c, i in sorted(special.items(), key=lambda x: x[1])), (None, None))
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if mark is None or any("<" in w and any(c in w for c in special) for w in words):
+            found = [x.ids for x in plain.encode_batch_fast(words, add_special_tokens=False)]
+            return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found])
+        texts = [mark.join(words[k : k + _JOINED]) + mark for k in range(0, len(words), _JOINED)]
+        ids = np.concatenate([np.array(x.ids) for x in joining.encode_batch_fast(texts, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == mark_id)
+        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+
+    return CachedEncoder(re.compile(pieces).findall, encode, dtype="<u2" if plain.get_vocab_size() <= 1 << 16 else "<u4", longest=32)
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -150,7 +170,7 @@ def encode_blocks(ids: np.ndarray, used: np.ndarray, shares: np.ndarray, bits: i
     steps = np.ascontiguousarray(grid.reshape(lanes, width).T)
     share, cum = np.zeros(int(used[-1]) + 1, np.int64), np.zeros(int(used[-1]) + 1, np.int64)
     share[used], cum[used] = shares, np.cumsum(shares) - shares
-    most = 3 * width + 8
+    most = 2 * width + 8
     out, start = np.zeros(lanes * most, np.uint32), np.arange(lanes) * most
     put = start.copy()
     low, reach = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
