@@ -1,9 +1,10 @@
 """Quality rules: counts of each document, and a log-likelihood ratio of hashed n-grams.
 
-Two multinomials over hashed words and word pairs are counted: one of the raw corpus (every
-document), one of a trusted target (documents labelled good). A document's score is the mean,
-over its n-grams, of log p_target - log p_raw; being a mean it doesn't grow with the text. It is
-kept if the score reaches ``least`` and the base counts pass. The same rows always give the same
+Two multinomials over hashed n-grams of bytes (``GRAMS``) are counted: one of the raw corpus
+(every document), one of a trusted target (documents labelled good). A document's score is the
+mean, over its n-grams, of log p_target - log p_raw; being a mean it doesn't grow with the text.
+Byte n-grams are few enough that a small target has met those of clean text. A document is kept
+if the score reaches ``least`` and the base counts pass. The same rows always give the same
 verdicts: hashes are fixed, counts are integers, and nothing is drawn at random.
 
 Counting is one pass that adds up inside each task; a task hands on at most one row for each
@@ -36,12 +37,14 @@ SYMBOLS = b"#*$%&|<>"
 BUCKETS = 1 << 16
 #: Labelled documents on which the target is fitted, at most.
 SAMPLE = 20_000
+#: Lengths of the n-grams, in bytes.
+GRAMS = (2, 3)
 #: The smallest score of a kept document, in nats an n-gram.
-LEAST = -0.1
-#: Weight of the raw corpus in the target's smoothed counts, as a share of the target's n-grams.
-PRIOR = 0.05
+LEAST = -0.6
+#: Added to a bucket's count in the target, and to what the raw corpus would have there.
+PRIOR = 4.0
 
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class WordIds:
@@ -64,15 +67,20 @@ class WordIds:
         return np.fromiter(chain.from_iterable(map(get, words) for words in cut), np.int64, sum(map(len, cut)))
 
 
-def gram_buckets(hashes: np.ndarray, sizes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the words, then those of the pairs of neighbours within a document; the
-    documents' numbers beside them."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    pairs = np.flatnonzero(doc[1:] == doc[:-1])
-    both = (hashes[pairs] * _MIX) ^ (hashes[pairs + 1] + _MIX)
-    both = (both ^ (both >> np.uint64(29))) * _MIX
-    mixed = np.concatenate([hashes, both])
-    return (mixed >> np.uint64(32)) % np.uint64(buckets), np.concatenate([doc, doc[pairs]])
+def gram_buckets(data: list[bytes], buckets: int, grams: tuple[int, ...] = GRAMS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length of n-grams: buckets of all n-grams within a document, and the documents."""
+    flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64) + np.uint64(1)
+    doc = np.repeat(np.arange(len(data)), [len(b) for b in data])
+    for n in grams:
+        size = len(flat) - n + 1
+        if size <= 0:
+            continue
+        value = np.full(size, n, np.uint64)
+        for k in range(n):
+            value = value * _MIX + flat[k : k + size]
+        value = (value ^ (value >> np.uint64(31))) * _MIX2
+        inside = doc[:size] == doc[n - 1 :]
+        yield ((value[inside] >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64), doc[:size][inside]
 
 
 def repeated_words(ids: np.ndarray) -> int:
@@ -110,12 +118,11 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for part in chunks(batches, "text"):
-            cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in part["text"].to_pylist()]
-            ids = _words(cut)
-            found, doc = gram_buckets(_words.hashes[ids], np.array([len(w) for w in cut]), buckets)
+            data = [(t or "").encode("utf-8", "surrogatepass") for t in part["text"].to_pylist()]
             trusted = np.array(part["trusted"].to_pylist(), bool)
-            raw += np.bincount(found.astype(np.int64), minlength=buckets)
-            target += np.bincount(found[trusted[doc]].astype(np.int64), minlength=buckets)
+            for found, doc in gram_buckets(data, buckets):
+                raw += np.bincount(found, minlength=buckets)
+                target += np.bincount(found[trusted[doc]], minlength=buckets)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
@@ -125,21 +132,18 @@ def _count(docs: DataFrame, buckets: int) -> DataFrame:
 def fit(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, sample: int = SAMPLE, prior: float = PRIOR) -> np.ndarray:
     """log p_target - log p_raw of each bucket.
 
-    trusted_ids: ids of the target in its first column. The target's counts are smoothed by
-    the raw corpus, so an n-gram that it lacks scores log(prior / (1 + prior)) at least.
+    trusted_ids: ids of the target in its first column. A bucket's ratio is (t + prior) / (e +
+    prior), of the target's count t and the count e that as many n-grams of the raw corpus have
+    there, so that n-grams too rare to tell count little.
     """
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).alias("_trusted")).where("_trusted is not null").distinct().orderBy(F.xxhash64("_trusted"), "_trusted").limit(sample)
     marked = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("_id") == F.col("_trusted"), "left").select("text", F.col("_trusted").isNotNull().alias("trusted"))
     rows = _count(marked, buckets).toPandas()  # a row for each bucket at most
-    raw, target = np.ones(buckets), np.zeros(buckets)
-    raw[rows["bucket"]] += rows["raw"]
-    target[rows["bucket"]] = rows["target"]
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    raw[rows["bucket"]], target[rows["bucket"]] = rows["raw"], rows["target"]
     if not target.sum():
         return np.zeros(buckets)
-    p_raw = raw / raw.sum()
-    mass = prior * target.sum()
-    p_target = (target + mass * p_raw) / (target.sum() + mass)
-    return np.log(p_target) - np.log(p_raw)
+    return np.log(target + prior) - np.log(raw * (target.sum() / raw.sum()) + prior)
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -154,9 +158,11 @@ def judge(docs: DataFrame, ratios: np.ndarray, *, id_col: str = "doc_id", text_c
         cut = [b.split() for b in data]
         sizes = np.array([len(w) for w in cut])
         ids = _words(cut)
-        found, doc = gram_buckets(_words.hashes[ids], sizes, len(shipped.value))
-        total = np.bincount(doc, weights=shipped.value[found], minlength=len(texts))
-        score = total / np.maximum(1, np.bincount(doc, minlength=len(texts)))
+        total, number = np.zeros(len(texts)), np.zeros(len(texts))
+        for found, doc in gram_buckets(data, len(shipped.value)):
+            total += np.bincount(doc, weights=shipped.value[found], minlength=len(texts))
+            number += np.bincount(doc, minlength=len(texts))
+        score = total / np.maximum(1, number)
         ends = np.cumsum(sizes)
         repeat = np.array([repeated_words(ids[e - n : e]) for e, n in zip(ends, sizes, strict=True)])
         failed = (sizes < 50) | (100 * repeat > 50 * sizes)
