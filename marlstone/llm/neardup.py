@@ -229,17 +229,19 @@ def _across_blocks(rest: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep``, class_id (the class's smallest id), class_size, and
     representative (true for one row of each class) of every row."""
-    numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())
+    held = {c: "text" if c == text_col else f"keep_{i}" for i, c in enumerate(keep)}
+    numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(h) for c, h in held.items() if h != "text"]).withColumn("row", F.monotonically_increasing_id())
     fields = [T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     # written once, so that row numbers hold and texts aren't sketched again
-    rows = checkpointed(map_texts(numbered, sketch_texts, fields, id_col="id", text_col="text", keep=("row", "text", *(f"keep_{i}" for i in range(len(keep))))))
-    links = _links(rows, least)
-    roots = components(links)
-    classed = rows.select("row", "id", F.coalesce("node", F.encode(F.concat(F.lit("row "), F.col("row").cast("string")), "utf-8")).alias("node"), *[f"keep_{i}" for i in range(len(keep))])
+    rows = checkpointed(map_texts(numbered, sketch_texts, fields, id_col="id", text_col="text", keep=("row", "text", *(h for h in held.values() if h != "text"))))
+    roots = components(_links(rows, least))
+    classed = rows.select("row", "id", F.coalesce("node", F.encode(F.concat(F.lit("row "), F.col("row").cast("string")), "utf-8")).alias("node"))
     classed = classed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("one"))
-    out = classed.join(classes, "root")
-    return out.select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "class_id", "class_size", (F.col("row") == F.col("one.row")).alias("representative"))
+    found = classed.join(classes, "root").select("row", "id", "class_id", "class_size", (F.col("row") == F.col("one.row")).alias("representative"))
+    if keep:
+        found = found.drop("id").join(rows.select("row", "id", *held.values()), "row")
+    return found.select(F.col("id").alias(id_col), *[F.col(h).alias(c) for c, h in held.items()], "class_id", "class_size", "representative")
 
 
 def _links(rows: DataFrame, least: float) -> DataFrame:

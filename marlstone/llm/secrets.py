@@ -174,18 +174,22 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(text.rlike(rule.pattern), F.aggregate(pieces, start, step, lambda s: s["spans"])).otherwise(none)
 
 
-def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), mask: str | None = None) -> DataFrame:
     """``id_col``, the columns ``keep``, and ``spans``: array of (start, kind, end), by start and
-    then by the rules' order; kind is the rule's number in ``rules``."""
+    then by the rules' order; kind is the rule's number in ``rules``.
+
+    mask: also gives ``masked``, the text (null stays null) with that in place of each span."""
     if len({r.name for r in rules}) < len(rules):
         raise ValueError("rules need names of their own")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(text_col).isNull().alias("no_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
     met = candidates(own.select("id", "text"), rules)
     # by hash, so that the texts need no sort; rows of a null id find their postings too
     joined = own.join(met.withColumnRenamed("id", "met_id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("met_id")), "left")
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     spans = [F.when(F.col(f"can_{r.name}"), rule_spans(F.col("text"), r, i)).otherwise(none) if f"can_{r.name}" in met.columns else rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]
-    return joined.select(F.col("id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], F.array_sort(F.concat(*spans)).alias("spans"))
+    found = joined.select("id", "text", "no_text", *[f"_keep_{i}" for i in range(len(keep))], F.array_sort(F.concat(*spans)).alias("spans"))
+    hidden = [F.when(~F.col("no_text"), masked(F.col("text"), F.col("spans"), mask)).alias("masked")] if mask is not None else []
+    return found.select(F.col("id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "spans", *hidden)
 
 
 def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
