@@ -1,6 +1,74 @@
-STAGES = []
+"""The corpus pipeline: documents are filtered, deduplicated, cleaned and packed.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but
+the last return the columns of ``docs``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import neardup, packing, ppm, quality, secrets
+from marlstone.llm.tokenfiles import shared_folder
+from marlstone.session import table
+
+
+def _others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c != "doc_id")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that pass the counts and look more like good ones than the corpus does."""
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    judged = quality.judge(docs, quality.fit(docs, trusted), keep=_others(docs))
+    return judged.where("kept").select(*docs.columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is known and as likely as all others together."""
+    found = ppm.identify(docs, ppm.learn(docs), keep=_others(docs))
+    return found.where("lang_pred != 'und' and score >= 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class."""
+    return neardup.near_duplicates(docs, keep=_others(docs)).where("representative").select(*docs.columns)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets; ``n_chars`` follows the text."""
+    found = secrets.scan_secrets(docs, keep=tuple(c for c in _others(docs) if c != "text"), mask="[secret]")
+    found = found.withColumn("text", F.col("masked"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
+
+
+def best_two_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the token ids of all documents into sequences of up to 2048."""
+    pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), documents=docs.count())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("best_two_fit", best_two_fit),
+]
+
+#: SQL can express neither the learned models nor the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each returns is written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = shared_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
