@@ -38,3 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
+    from marlstone.plans import conversation_queries, search_queries  # noqa: F401
