@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import neardup, packing, ppm, quality, secrets
-from marlstone.llm.tokenfiles import shared_folder
-from marlstone.session import table
+from marlstone.session import shared_folder, table
 
 
 def _others(docs: DataFrame) -> tuple[str, ...]:
