@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import chunks
-from marlstone.llm.tokenfiles import BARE_WORDS, library_encoder
+from marlstone.llm.tokenfiles import BARE_WORDS, TOKEN_CHUNK, library_encoder
 
 #: Documents of a group, about.
 GROUP = 8192
@@ -45,7 +45,7 @@ def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, row = library_encoder(path, pieces), TaskContext.get().partitionId() << 33
-        for part in chunks(batches, "_text"):
+        for part in chunks(batches, "_text", TOKEN_CHUNK):
             coded = encoder([t or "" for t in part["_text"].to_pylist()])
             end = np.array([end_id], encoder.dtype).tobytes()
             flat = np.frombuffer(end.join(coded) + end, encoder.dtype).astype("<u4")

@@ -30,21 +30,25 @@ and equal ids are kept, by their texts; an empty table gives no files and no row
 from __future__ import annotations
 
 import os
+import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import CachedEncoder, chunks
+from marlstone.session import shared_folder
+
+#: Bytes of text that are encoded at once: more than elsewhere, as each distinct piece is looked up once.
+TOKEN_CHUNK = 6 << 20
 
 MAGIC = b"MTF1"
 #: Ids of a block.
@@ -65,35 +69,21 @@ SPACED_WORDS = f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+"
 BARE_WORDS = f"[^{_SPACE}]+"
 
 
-#: Pieces that the library gets in one string.
-_JOINED = 1000
-
-
 @lru_cache(maxsize=4)
 def library_encoder(path: str, pieces: str) -> CachedEncoder:
-    """The tokenizers library's encoding of texts, by distinct pieces that it encodes separately.
-
-    The library takes many pieces at once faster than one by one: they are joined by a special
-    token, which it never merges with its neighbours, and whose id parts the ids again.
-    """
+    """The tokenizers library's encoding of texts, by distinct pieces that it encodes separately."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    plain, joining = Tokenizer.from_file(path), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True  # their strings in a text are ordinary text
-    special = {t.content: i for i, t in joining.get_added_tokens_decoder().items() if t.special}
-    mark, mark_id = next(((c, i) for c, i in sorted(special.items(), key=lambda x: x[1])), (None, None))
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if mark is None or any("<" in w and any(c in w for c in special) for w in words):
-            found = [x.ids for x in plain.encode_batch_fast(words, add_special_tokens=False)]
-            return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found])
-        texts = [mark.join(words[k : k + _JOINED]) + mark for k in range(0, len(words), _JOINED)]
-        ids = np.concatenate([np.array(x.ids) for x in joining.encode_batch_fast(texts, add_special_tokens=False)])
-        ends = np.flatnonzero(ids == mark_id)
-        return np.delete(ids, ends), np.diff(ends, prepend=-1) - 1
+        found = [x.ids for x in model.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
 
-    return CachedEncoder(re.compile(pieces).findall, encode, dtype="<u2" if plain.get_vocab_size() <= 1 << 16 else "<u4", longest=32)
+    return CachedEncoder(re.compile(pieces).findall, encode, dtype="<u2" if model.get_vocab_size() <= 1 << 16 else "<u4", longest=32)
 
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -315,7 +305,7 @@ def to_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
             values = pa.concat_arrays([x.cast(x.type) for x in ids])
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(flat)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.array([content], pa.binary())], names=names)
 
-        for rows in chunks(batches, "text"):
+        for rows in chunks(batches, "text", TOKEN_CHUNK):
             found = encoder([t or "" for t in rows["text"].to_pylist()])
             ids.append(rows["id"])
             coded += found
@@ -351,16 +341,6 @@ def from_files(files: DataFrame, id_col: str, id_type: T.DataType) -> DataFrame:
     return placed.select("base", "ids", "content").mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder for written tables, below the one that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:  # on one machine, as in tests
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="marlstone-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def write_and_read(docs: DataFrame, path: str, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """Writes the token files of ``docs`` to ``folder`` and gives what they hold (see ``from_files``)."""
     spark = docs.sparkSession
