@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from marlstone.llm.neardup import components
-from marlstone.session import checkpointed
+from marlstone.session import stored
 
 CORNERS, SCALES = 24, (1.0, 0.8)
 RADIUS, TESTS, TURNS = 12, 192, 36
@@ -182,7 +182,7 @@ def _matches(found: DataFrame) -> DataFrame:
     keyed = found.select("row", "corner", F.posexplode("tables").alias("table", "part")).select("row", "corner", (F.shiftleft(F.col("part").cast("long"), 4) + F.col("table")).alias("key"))
     # a bucket of one image has no pairs
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key", "size")
-    crowd = checkpointed(keyed.join(sizes, "key"))
+    crowd = stored(keyed.join(sizes, "key"))
     few, large = crowd.where(F.col("size") <= SMALL), crowd.where(F.col("size") > SMALL)
     company = large.groupBy("row").agg(F.sum("size").alias("company"))
     # of each large bucket one corner of the image with the most company
@@ -219,8 +219,8 @@ def image_copies(media: DataFrame, *, id_col: str, media_col: str, inliers: int
     (images that were found linked to this one) of every row."""
     numbered = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())
     # written once, so that row numbers hold and images aren't described again
-    rows = checkpointed(described(numbered, media_col="media"))
-    links = checkpointed(_links(_matches(rows.select("row", F.inline("corners"))), inliers))
+    rows = stored(described(numbered, media_col="media"))
+    links = stored(_links(_matches(rows.select("row", F.inline("corners"))), inliers))
     ends = links.select(F.col("a").alias("row")).union(links.select(F.col("b").alias("row"))).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
     classed = rows.drop("corners").join(components(links).withColumnRenamed("node", "row"), "row", "left").join(ends, "row", "left").withColumn("root", F.coalesce("root", "row"))
     classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
