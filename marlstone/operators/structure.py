@@ -28,7 +28,7 @@ def sections(lines: DataFrame, *, bigger: float = 1.25, least: int = 80) -> Data
     marked = lines.join(body_size(lines), "doc_id").withColumn("_head", (F.col("size") >= bigger * F.col("body")) & (F.length("text") > 1))
     order = Window.partitionBy("doc_id").orderBy("seq")
     islands = marked.withColumn("_island", F.sum(F.col("_head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_island > 0")
-    under = F.sum(F.when(~F.col("_head"), F.length("text")).otherwise(0))
+    under = F.sum(F.when(F.col("size") < bigger * F.col("body"), F.length("text")).otherwise(0))
     found = islands.groupBy("doc_id", "_island").agg(F.min("seq").alias("seq"), under.cast("long").alias("under"), F.min_by(F.struct("page", "size", "text"), "seq").alias("_h"))
     found = found.select("doc_id", "seq", "_h.page", "_h.size", F.col("_h.text").alias("title"), "under", (F.col("under") >= least).alias("kept"))
     rank = F.dense_rank().over(Window.partitionBy("doc_id", "kept").orderBy(F.desc("size"))).cast("long")

@@ -35,9 +35,9 @@ sizes AS (SELECT doc_id, size, sum(length(text)) AS w, min(seq) AS f FROM lines
 body AS (SELECT doc_id, size AS body FROM sizes QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY w DESC, f) = 1)"""
 
 SECTIONS = f"""{BODY},
-marked AS (SELECT l.*, size >= 1.25 * body AND length(text) > 1 AS head FROM lines l JOIN body USING (doc_id)),
+marked AS (SELECT l.*, body, size >= 1.25 * body AND length(text) > 1 AS head FROM lines l JOIN body USING (doc_id)),
 isl AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM marked QUALIFY island > 0),
-found AS (SELECT doc_id, min(seq) AS seq, arg_min(page, seq) AS page, arg_min(size, seq) AS size, arg_min(text, seq) AS title, sum(CASE WHEN NOT head THEN length(text) ELSE 0 END)::BIGINT AS under FROM isl GROUP BY doc_id, island),
+found AS (SELECT doc_id, min(seq) AS seq, arg_min(page, seq) AS page, arg_min(size, seq) AS size, arg_min(text, seq) AS title, sum(CASE WHEN size < 1.25 * body THEN length(text) ELSE 0 END)::BIGINT AS under FROM isl GROUP BY doc_id, island),
 sections AS (SELECT *, under >= 80 AS kept, CASE WHEN under >= 80 THEN dense_rank() OVER (PARTITION BY doc_id, under >= 80 ORDER BY size DESC) END AS level FROM found),
 ends AS (SELECT *, greatest(page, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY seq) - 1, 60)) AS page_end FROM sections WHERE kept)"""
 
