@@ -21,9 +21,10 @@ Candidates. Equal texts are one node from the start. Nodes meet in the buckets o
 2. Links found so far are joined to classes. Two nodes of one class need no comparison of their
    own. Buckets that still hold several classes are the rest: all pairs across classes are
    compared, so no link that the bands can find is lost. In a bucket above ``SMALL`` nodes only
-   those outside its leader's class meet the others, in blocks, by signatures; a pair counts in
-   the first of its bands only, and goes on if its estimate is above ``GUESS``.
-Both times the overlap is then counted exactly from the texts.
+   those outside its leader's class meet the others, in blocks: a pair counts in the first of its
+   bands only, is counted out below an estimate of ``GUESS``, and is left out if the block has
+   already joined the two. A block gives links, never pairs.
+All links are overlaps counted exactly from the texts.
 
 Nothing is collected, and no step holds a bucket or a class in one task: buckets are aggregated
 by hash with partial sums, joins on buckets and leaders are split by Spark where they are skewed,
@@ -50,7 +51,7 @@ from pyspark.sql import types as T
 
 from marlstone.llm.common import map_texts
 from marlstone.llm.quality import WordIds
-from marlstone.session import checkpointed
+from marlstone.session import checkpointed, stored
 
 #: Words of a shingle; the least similarity of a link.
 WORDS, LEAST = 5, 0.8
@@ -58,7 +59,7 @@ WORDS, LEAST = 5, 0.8
 BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 #: Nodes of a bucket whose pairs are simply joined, at most; nodes of a block in larger ones.
-SMALL, BLOCK = 32, 1024
+SMALL, BLOCK = 8, 1024
 #: Estimated similarity from which a pair is counted out: four standard errors below LEAST.
 GUESS = 0.67
 
@@ -148,17 +149,25 @@ def sketch_texts(texts: list) -> dict:
     }
 
 
-@lru_cache(maxsize=64)
-def _bag(text: str) -> Counter:
+def bag_of(text: str) -> Counter:
+    """The multiset of a text's shingles."""
     words = words_of(text)
     return Counter(tuple(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1)))
 
 
+def similarity(x: Counter, y: Counter) -> float:
+    """Weighted Jaccard similarity of two multisets that aren't empty."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    common = sum(min(n, large[k]) for k, n in small.items() if k in large)
+    return common / (x.total() + y.total() - common)
+
+
+_bag = lru_cache(maxsize=64)(bag_of)
+
+
 def overlap(a: str, b: str) -> float:
     """Weighted Jaccard similarity of two texts with words."""
-    x, y = _bag(a), _bag(b)
-    common = sum((x & y).values())
-    return common / (x.total() + y.total() - common)
+    return similarity(_bag(a), _bag(b))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -173,39 +182,43 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+#: Links that a task of ``components`` takes, about.
+LINKS = 200_000
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, root``: each node of the links, and the smallest node of its component.
 
-    Rounds of large-star and small-star; each moves all of a node's neighbours to the smallest
-    one with an aggregate and a join, and is written to the shared checkpoint folder.
+    Rounds of large-star and small-star; each moves a node's neighbours to the smallest one with
+    aggregates and joins, and is written to the shared checkpoint folder. They end when each node
+    has one link, to a node that has none of its own. The number of tasks follows that of links.
     """
     # (u, v) with u > v, a row for each link
     edges = checkpointed(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = None
     while True:
+        n, starts = edges.agg(F.count(F.lit(1)), F.countDistinct("u")).first()
+        tasks = max(1, -(-n // LINKS))
+        edges = edges.coalesce(tasks)
+        if n == starts and edges.join(edges.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
+            break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")).coalesce(tasks)
         larger = edges.select(F.col("u").alias("w"), F.col("v").alias("u")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
-        own = least.where("u != m").select("u", F.col("m").alias("v"))
-        edges = larger.union(own).where("u != v").distinct()
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        edges = larger.union(least.where("u != m").select("u", F.col("m").alias("v"))).where("u != v").distinct().coalesce(tasks)
+        least = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
         smaller = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(smaller.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first()
-        if now == state:
-            break
-        state = now
+        edges = checkpointed(smaller.union(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _across_blocks(rest: DataFrame) -> DataFrame:
-    """Pairs of large buckets by signature; ``rest``: key, node, root, leading, sig, all_keys."""
+def _across_blocks(rest: DataFrame, least: float) -> DataFrame:
+    """Links in large buckets; ``rest``: key, node, root, size, leading, sig, all_keys, text."""
     dealt = rest.withColumn("part", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK))).cast("int"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     # nodes outside the leader's class meet every block, all nodes meet every block of those
     outer = dealt.where("not leading").select("*", F.col("part").alias("x"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("y"), F.lit(True).alias("asks"))
     inner = dealt.select("*", F.col("part").alias("y"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("x"), F.lit(False).alias("asks"))
-    rows = outer.unionByName(inner).select("key", "x", "y", "asks", "node", "root", "leading", "sig", "all_keys")
+    rows = outer.unionByName(inner).select("key", "x", "y", "asks", "node", "root", "leading", "sig", "all_keys", "text")
 
     def run(table: pa.Table) -> pa.Table:
         key = table["key"][0].as_py()
@@ -214,13 +227,25 @@ def _across_blocks(rest: DataFrame) -> DataFrame:
         sig = np.stack([np.frombuffer(s, "<u2") for s in table["sig"].to_pylist()])
         keys = np.array(table["all_keys"].to_pylist(), np.int64)
         own = int(np.flatnonzero((keys == key).all(axis=0))[0])
-        others = np.flatnonzero(~asks)
+        others, text = np.flatnonzero(~asks), table["text"].to_pylist()
+        bags: dict[int, Counter] = {}
+
+        def bag(i: int) -> Counter:
+            if i not in bags:
+                bags[i] = bag_of(text[i])
+            return bags[i]
+
+        joined = np.arange(root.max() + 1)  # classes that the block has joined so far
         a, b = [], []
         for i in np.flatnonzero(asks):
-            fit = others[(sig[others] == sig[i]).sum(axis=1) >= GUESS * sig.shape[1]]
-            fit = fit[(root[fit] != root[i]) & ~(keys[fit, :own] == keys[i, :own]).any(axis=1)]
-            a += [node[i]] * len(fit)
-            b += node[fit].tolist()
+            alike = (sig[others] == sig[i]).sum(axis=1)
+            fit = others[alike >= GUESS * sig.shape[1]][np.argsort(-alike[alike >= GUESS * sig.shape[1]], kind="stable")]
+            fit = fit[~(keys[fit, :own] == keys[i, :own]).any(axis=1)]
+            for j in fit:
+                if joined[root[i]] != joined[root[j]] and similarity(bag(i), bag(j)) >= least:
+                    a.append(node[i])
+                    b.append(node[j])
+                    joined[joined == joined[root[j]]] = joined[root[i]]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return rows.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary")
@@ -233,7 +258,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     numbered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(h) for c, h in held.items() if h != "text"]).withColumn("row", F.monotonically_increasing_id())
     fields = [T.StructField("node", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     # written once, so that row numbers hold and texts aren't sketched again
-    rows = checkpointed(map_texts(numbered, sketch_texts, fields, id_col="id", text_col="text", keep=("row", "text", *(h for h in held.values() if h != "text"))))
+    rows = stored(map_texts(numbered, sketch_texts, fields, id_col="id", text_col="text", keep=("row", "text", *(h for h in held.values() if h != "text"))))
     roots = components(_links(rows, least))
     classed = rows.select("row", "id", F.coalesce("node", F.encode(F.concat(F.lit("row "), F.col("row").cast("string")), "utf-8")).alias("node"))
     classed = classed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -248,24 +273,22 @@ def _links(rows: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between nodes that give the classes of all links that the bands find."""
     met = rows.where("node is not null").select("node", F.explode("keys").alias("key")).distinct()
     sizes = met.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    crowd = checkpointed(met.join(sizes, "key"))
+    crowd = stored(met.join(sizes, "key"))
     company = crowd.groupBy("node").agg(F.sum("size").alias("company"))
     leaders = crowd.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
     first = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(company.select("node"), "node", "left_semi")
-    held = checkpointed(rows.select("row", "text", "keys", "sig").join(first, "row"))
+    held = stored(rows.select("row", "text", "keys", "sig").join(first, "row"))
     texts = held.select("node", "text")
     pairs = crowd.join(leaders, "key").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = checkpointed(_verified(pairs, texts, least))
+    links = stored(_verified(pairs, texts, least))
 
     known = crowd.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
     # pairs with the leader were counted out already
-    rest = checkpointed(known.join(mixed_keys, "key").join(leaders, "key"))
+    rest = stored(known.join(mixed_keys, "key").join(leaders, "key"))
     few = rest.where(F.col("size") <= SMALL).where("node != leader").select("key", "node", "root")
     small = few.join(few.withColumnsRenamed({"node": "b", "root": "root_b"}), "key").where("root != root_b and node < b").select(F.col("node").alias("a"), "b").distinct()
     many = rest.where(F.col("size") > SMALL)
     leading = known.select("key", F.col("node").alias("leader"), F.col("root").alias("leading_root"))
-    many = many.join(leading, ["key", "leader"]).select("key", "node", "root", "size", (F.col("root") == F.col("leading_root")).alias("leading")).join(held.select("node", "sig", F.col("keys").alias("all_keys")), "node")
-    large = _across_blocks(many).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = _verified(small.union(large).distinct(), texts, least)
-    return links.union(more)
+    many = many.join(leading, ["key", "leader"]).select("key", "node", "root", "size", (F.col("root") == F.col("leading_root")).alias("leading")).join(held.select("node", "sig", F.col("keys").alias("all_keys"), "text"), "node")
+    return links.union(_verified(small, texts, least)).union(_across_blocks(many, least))
