@@ -34,5 +34,6 @@ def fuse(ranked: DataFrame, *, by: list[str], weights: DataFrame | None = None,
         F.col("held")[0]["pos"].alias("_pos"),
     )
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("n_lists"), "best_pos", "_list", "_pos", "id")
-    out = fused.withColumn("rank", F.row_number().over(order).cast("long")).drop("_list", "_pos")
-    return out.where(F.col("rank") <= most) if most else out
+    out = fused.withColumn("rank", F.row_number().over(order))
+    out = out.where(F.col("rank") <= most) if most else out
+    return out.withColumn("rank", F.col("rank").cast("long")).drop("_list", "_pos")

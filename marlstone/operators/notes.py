@@ -175,14 +175,15 @@ def echo(said: Column, reply: Column, n: int = 3) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(runs(said), runs(reply))), F.size(runs(reply))), F.lit(0.0))
 
 
-def two_stage(queries: DataFrame, docs: DataFrame, *, least: float, first: int = 3, second: int = 2) -> DataFrame:
+def two_stage(queries: DataFrame, docs: DataFrame, *, least: float, opened: int = 3, second: int = 2) -> DataFrame:
     """``query_id, doc_id, piece, shared, place``: documents by BM25, then the pieces (paragraphs) of
     these that share most keywords with the query; pieces that share none are left out."""
-    chosen = retrieval.top(retrieval.bm25(queries, docs, key="doc_id", least=least).withColumn("score", F.round("score", 3)), "query_id", F.col("score"), "doc_id", first).select("query_id", "doc_id")
+    chosen = retrieval.top(retrieval.bm25(queries, docs, key="doc_id", least=least).withColumn("score", F.round("score", 3)), "query_id", F.col("score"), "doc_id", opened).select("query_id", "doc_id")
     pieces = docs.join(chosen, "doc_id").join(queries.withColumnRenamed("text", "query"), "query_id").select("query_id", "doc_id", retrieval.keywords(F.col("query")).alias("keys"), F.posexplode(retrieval.paragraphs(F.col("text"))).alias("piece", "p"))
     scored = pieces.withColumn("shared", F.size(F.array_intersect("keys", retrieval.keywords(F.col("p"))))).where("shared > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("shared"), "doc_id", "piece")
-    return scored.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= second).select("query_id", "doc_id", "piece", "shared", "place")
+    first = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= second)
+    return first.select("query_id", "doc_id", "piece", "shared", F.col("place").cast("long").alias("place"))
 
 
 def overlapping(found: DataFrame) -> DataFrame:

@@ -24,7 +24,9 @@ def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
 def top(scored: DataFrame, by: str, score: Column, tie: str, most: int) -> DataFrame:
     """The ``most`` rows of each ``by`` with the highest score, and ``pos`` from 0."""
     order = Window.partitionBy(by).orderBy(score.desc(), tie)
-    return scored.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).where(F.col("pos") < most)
+    # the filter is on the bare row number, so that Spark drops rows beyond it before they are shuffled
+    first = scored.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= most)
+    return first.withColumn("pos", (F.col("_nth") - 1).cast("long")).drop("_nth")
 
 
 def paragraphs(text: Column, least: int = 80) -> Column:
@@ -90,8 +92,8 @@ def shortlist(results: DataFrame, *, by: str, seen: int = 12, most: int = 3) ->
     first = results.withColumn("_nth", F.row_number().over(Window.partitionBy(by).orderBy("pos"))).where(F.col("_nth") <= seen)
     first = first.withColumn("site", site(F.col("url"))).withColumn("storefront", is_storefront(F.col("url"))).where("site != ''")
     once = first.withColumn("_of_site", F.row_number().over(Window.partitionBy(by, "site").orderBy("storefront", "pos"))).where("_of_site = 1")
-    out = once.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("storefront", "pos")).cast("long"))
-    return out.where(F.col("place") <= most).drop("_nth", "_of_site")
+    out = once.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("storefront", "pos"))).where(F.col("place") <= most)
+    return out.withColumn("place", F.col("place").cast("long")).drop("_nth", "_of_site")
 
 
 def budgeted(blocks: DataFrame, *, by: str, most: int = 1400) -> DataFrame:
