@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import chunks
-from marlstone.llm.tokenfiles import BARE_WORDS, TOKEN_CHUNK, library_encoder
+from marlstone.llm.tokenfiles import TOKEN_CHUNK, ended, library_encoder
 
 #: Documents of a group, about.
 GROUP = 8192
 
 
-def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, pieces: str = BARE_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col, piece, start, length, ids``, the columns ``keep``, and ``row`` (any number).
 
     ids are little-endian unsigned 32-bit integers. A row of ``keep`` is given with each piece.
@@ -44,12 +44,10 @@ def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int =
     schema = T.StructType([*(T.StructField(c, own.schema[c].dataType) for c in kept), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = library_encoder(path, pieces), TaskContext.get().partitionId() << 33
+        encoder, row = library_encoder(path, True), TaskContext.get().partitionId() << 33
         for part in chunks(batches, "_text", TOKEN_CHUNK):
-            coded = encoder([t or "" for t in part["_text"].to_pylist()])
-            end = np.array([end_id], encoder.dtype).tobytes()
-            flat = np.frombuffer(end.join(coded) + end, encoder.dtype).astype("<u4")
-            sizes = np.array([len(c) // encoder.dtype.itemsize + 1 for c in coded])
+            flat, sizes = ended(*encoder([t or "" for t in part["_text"].to_pylist()]), end_id)
+            flat = flat.astype("<u4")
             number = -(-sizes // size)
             of = np.repeat(np.arange(len(sizes)), number)
             piece = np.arange(len(of)) - np.repeat(np.cumsum(number) - number, number)
