@@ -34,8 +34,10 @@ def map_texts(df: DataFrame, function: Callable[[list], dict], fields: list[T.St
     The function gets a few megabytes of whole texts at a time (null ones as None) and returns
     a list or Arrow array for each of ``fields``. Only the named columns are read.
     """
-    own = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    kept = [T.StructField("_id", own.schema["_id"].dataType)] + [T.StructField(f"_keep_{i}", own.schema[f"_keep_{i}"].dataType) for i in range(len(keep))]
+    # the text itself is handed over once, also where it is kept
+    sources = ["_text" if c == text_col else f"_keep_{i}" for i, c in enumerate(keep)]
+    own = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(n) for c, n in zip(keep, sources, strict=True) if n != "_text"])
+    kept = [T.StructField("_id", own.schema["_id"].dataType)] + [T.StructField(f"_keep_{i}", own.schema[n].dataType) for i, n in enumerate(sources)]
     made = [T.StructField(f"_made_{i}", f.dataType) for i, f in enumerate(fields)]
     schema = T.StructType(kept + made)
     arrow, names = to_arrow_schema(schema), [f.name for f in fields]
@@ -43,7 +45,7 @@ def map_texts(df: DataFrame, function: Callable[[list], dict], fields: list[T.St
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "_text"):
             out = function(part["_text"].to_pylist())
-            columns = [part[f.name] for f in kept]
+            columns = [part[n] for n in ("_id", *sources)]
             for name, field in zip(names, list(arrow)[len(kept) :], strict=True):
                 column = out[name]
                 columns.append(column if isinstance(column, pa.Array) and column.type == field.type else pa.array(column, type=field.type))
