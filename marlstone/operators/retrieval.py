@@ -17,7 +17,8 @@ def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     words are met with the queries' by hash, so only words of queries go on.
     """
     asked = queries.select("query_id", F.explode(keywords(F.col("text"))).alias("word"))
-    held = docs.select("doc_id", F.length("text").alias("n_chars"), F.explode(keywords(F.col("text"))).alias("word"))
+    # in two steps, else each word's row would carry the whole text and measure it again
+    held = docs.select("doc_id", F.length("text").alias("n_chars"), keywords(F.col("text")).alias("words")).select("doc_id", "n_chars", F.explode("words").alias("word"))
     return held.join(asked, "word").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n_chars").alias("n_chars"))
 
 
