@@ -87,10 +87,10 @@ def quotes(observation: Column) -> Column:
     return F.when(F.size(inside) > 0, inside).when(bare != "", F.array(bare)).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def common_length(quote: Column, text: Column, most: int = 15, least: int = 4) -> Column:
+def common_length(quote: Column, found: Column, text: Column, most: int = 15, least: int = 4) -> Column:
     """F8: length of the quote if the text holds it, else of its longest run of words (``most``
-    down to ``least``, the first of equals) that does, else 0. Both in ``quote_form``."""
-    found = words(quote)
+    down to ``least``, the first of equals) that does, else 0. Both in ``quote_form``; found: a
+    column with the quote's words."""
     n = F.size(found)
     sizes = F.when(n > 0, F.sequence(F.least(F.lit(most), n), F.least(F.lit(least), n), F.lit(-1))).otherwise(F.expr("cast(array() as array<int>)"))
     runs = F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(found, i, k), " "))))
@@ -106,8 +106,8 @@ def attributed(quoted: DataFrame, messages: DataFrame, *, accepted: int = 16) ->
     runs of fewer than ``accepted``, name nobody.
     """
     said = messages.select("conv_id", "turn", "role", quote_form(F.coalesce("text", F.lit(""))).alias("_text"))
-    asked = quoted.select("conv_id", "quote_id", quote_form(F.col("quote")).alias("_quote"))
-    met = asked.join(said, "conv_id", "left").withColumn("_len", F.when(F.length("_quote") >= 20, common_length(F.col("_quote"), F.coalesce("_text", F.lit("")))).otherwise(0))
+    asked = quoted.select("conv_id", "quote_id", quote_form(F.col("quote")).alias("_quote")).withColumn("_found", words(F.col("_quote")))
+    met = asked.join(said, "conv_id", "left").withColumn("_len", F.when(F.length("_quote") >= 20, common_length(F.col("_quote"), F.col("_found"), F.coalesce("_text", F.lit("")))).otherwise(0))
     best = met.groupBy("conv_id", "quote_id").agg(F.max(F.struct(F.col("_len"), (-F.col("turn")).alias("_first"), F.col("role"))).alias("_best"))
     return best.select("conv_id", "quote_id", F.when(F.col("_best._len") >= accepted, F.col("_best.role")).alias("quoted_role"), F.col("_best._len").cast("long").alias("match_len"))
 

@@ -164,15 +164,18 @@ def validity(stated: DataFrame, *, by: list[str], at: str) -> DataFrame:
     return stated.withColumn("valid_to", F.lead(at).over(Window.partitionBy(*by).orderBy(at)))
 
 
-def echo(said: Column, reply: Column, n: int = 3) -> Column:
-    """The share of the reply's runs of ``n`` words that the text before has too; 0 if it has none."""
+def echo(before: DataFrame, said: str, reply: str, n: int = 3) -> DataFrame:
+    """``before`` with echo: the share of the reply's runs of ``n`` words that the text said before
+    it has too; 0 if it has none. Words are cut once, in a step of their own."""
 
-    def runs(text: Column) -> Column:
-        found = words(text)
+    def runs(found: str) -> Column:
         starts = F.when(F.size(found) >= n, F.sequence(F.lit(1), F.size(found) - (n - 1))).otherwise(F.expr("cast(array() as array<int>)"))
         return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(found, i, n), " ")))
 
-    return F.coalesce(F.try_divide(F.size(F.array_intersect(runs(said), runs(reply))), F.size(runs(reply))), F.lit(0.0))
+    cut = before.withColumn("_said", words(F.col(said))).withColumn("_reply", words(F.col(reply)))
+    met = cut.withColumn("_said", runs("_said")).withColumn("_reply", runs("_reply"))
+    share = F.try_divide(F.size(F.array_intersect("_said", "_reply")), F.size("_reply"))
+    return met.withColumn("echo", F.coalesce(share, F.lit(0.0))).drop("_said", "_reply")
 
 
 def two_stage(queries: DataFrame, docs: DataFrame, *, least: float, opened: int = 3, second: int = 2) -> DataFrame:

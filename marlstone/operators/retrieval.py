@@ -42,15 +42,14 @@ def paragraph_score(paragraph: Column, keys: Column, pos: Column, n: Column) ->
     return F.when(paragraph.rlike(f"(?i){lexicons.BOILERPLATE}"), 0.0).otherwise(score)
 
 
-def packed_passages(text: Column, query: Column, most: int) -> Column:
-    """The text's best paragraphs for ``query`` in their own order, ``most`` characters at most.
+def packed_passages(text: Column, keys: Column, all_: Column, most: int) -> Column:
+    """The text's best paragraphs for a query in their own order, ``most`` characters at most.
 
-    Paragraphs are tried by score (in order if the query has no keywords); one that doesn't fit
-    is skipped, and above four fifths the packing ends. If none fits, the best one is cut; if
-    there is none, the text.
+    keys and all_: columns with the query's keywords and the text's paragraphs, made in a step
+    before so that they aren't made again for each paragraph. Paragraphs are tried by score (in
+    order if there are no keywords); one that doesn't fit is skipped, and above four fifths the
+    packing ends. If none fits, the best one is cut; if there is none, the text.
     """
-    all_ = paragraphs(text)
-    keys = keywords(query)
 
     def rank(p: Column, i: Column) -> Column:
         score = F.when(F.size(keys) > 0, paragraph_score(p, keys, i, F.size(all_))).otherwise(F.lit(0.0))

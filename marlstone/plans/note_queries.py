@@ -82,7 +82,7 @@ def echo_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each message repeats the one before."""
     said = table(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit("")))
     met = said.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
-    return met.select("conv_id", "turn", F.round(notes.echo(F.col("before"), F.col("text")), 9).alias("echo"))
+    return notes.echo(met, "before", "text").select("conv_id", "turn", F.round("echo", 9).alias("echo"))
 
 
 @register("two_stage_retrieval", rf"""WITH asked AS (SELECT item_id AS query_id, unnest({_keys('text')}) AS word FROM benchmark),

@@ -87,8 +87,8 @@ scored AS (SELECT query_id, doc_id, pos, i, p, len(ps) AS n, list_position(ps, p
 @register("passage_score", f"WITH {OPENED} SELECT query_id, doc_id, i::INTEGER AS paragraph, round(score, 9) AS score FROM scored")
 def passage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = _opened(spark, sf_dir).withColumn("ps", retrieval.paragraphs(F.col("text")))
-    each = opened.select("query_id", "doc_id", "query", F.size("ps").alias("n"), F.posexplode("ps").alias("paragraph", "p"))
-    score = retrieval.paragraph_score(F.col("p"), retrieval.keywords(F.col("query")), F.col("paragraph"), F.col("n"))
+    each = opened.select("query_id", "doc_id", retrieval.keywords(F.col("query")).alias("keys"), "ps").select("query_id", "doc_id", "keys", F.size("ps").alias("n"), F.posexplode("ps").alias("paragraph", "p"))
+    score = retrieval.paragraph_score(F.col("p"), F.col("keys"), F.col("paragraph"), F.col("n"))
     return each.select("query_id", "doc_id", "paragraph", F.round(score, 9).alias("score"))
 
 
@@ -110,7 +110,8 @@ FROM pieces o JOIN ends e ON e.query_id = o.query_id AND e.doc_id = o.doc_id"""
 
 @register("passage_pack", PACKED)
 def passage_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _opened(spark, sf_dir).select("query_id", "doc_id", retrieval.packed_passages(F.col("text"), F.col("query"), 340).alias("passage"))
+    opened = _opened(spark, sf_dir).select("query_id", "doc_id", "text", retrieval.keywords(F.col("query")).alias("keys"), retrieval.paragraphs(F.col("text")).alias("ps"))
+    return opened.select("query_id", "doc_id", retrieval.packed_passages(F.col("text"), F.col("keys"), F.col("ps"), 340).alias("passage"))
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:

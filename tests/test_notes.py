@@ -40,6 +40,6 @@ def test_small_ones(spark):
     images = spark.sql("SELECT * FROM VALUES (array('a', 'b'), 'image/png', 'd'), (array(), 'image/png', 'd'), (array(), 'text/plain', 'd') AS t(p, k, d)")
     assert [r.v for r in images.select(notes.image_of(F.col("p"), F.col("k"), F.col("d")).alias("v")).collect()] == ["b", "d", None]
     echoes = spark.createDataFrame([("il gatto nero dorme", "il gatto nero corre via"), ("x", "y"), ("a b c", "a b")], "s string, r string")
-    assert [r.v for r in echoes.select(notes.echo(F.col("s"), F.col("r")).alias("v")).collect()] == [1 / 3, 0.0, 0.0]
+    assert [r.v for r in notes.echo(echoes, "s", "r").withColumnRenamed("echo", "v").collect()] == [1 / 3, 0.0, 0.0]
     found = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 2), (1, 4, 1)], "doc_id int, seq int, level int")
     assert [r.parent for r in notes.parents(found).orderBy("seq").collect()] == [None, 0, 1, 0, None]

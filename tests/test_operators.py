@@ -96,7 +96,8 @@ def test_passages(spark):
     words = "mare monte casa gatto cookie vino pane strada".split()
     texts = ["\n".join(" ".join(rng.choice(words) for _ in range(rng.randrange(3, 60))) for _ in range(12)) for _ in range(6)] + ["corto", "x" * 900, "y " * 300 + "\n" + "y " * 300]
     for text in texts:
-        got = spark.createDataFrame([(text, "gatto sul monte")], "t string, q string").select(retrieval.packed_passages(F.col("t"), F.col("q"), 340).alias("v")).first().v
+        df = spark.createDataFrame([(text, "gatto sul monte")], "t string, q string").select("t", retrieval.keywords(F.col("q")).alias("k"), retrieval.paragraphs(F.col("t")).alias("p"))
+        got = df.select(retrieval.packed_passages(F.col("t"), F.col("k"), F.col("p"), 340).alias("v")).first().v
         assert got == pack_by_hand(text, "gatto sul monte", 340, spark)
 
 
