@@ -5,8 +5,9 @@
    the smoothed patch, turned by that orientation, make its descriptor.
 2. The descriptor is cut into ``TABLES`` parts of 32 bits, the keys of Hamming tables. Corners that
    share a key, and whose descriptors differ in ``DISTANCE`` bits at most, match. In a bucket of
-   up to ``SMALL`` corners all pairs of images meet; in a larger one all meet the image with the
-   most company, so a bucket never gives more rows than a constant times its corners.
+   up to ``SMALL`` corners all pairs of images meet; of its larger buckets a corner goes by the
+   largest, where it meets the first image. So there are never more pairs than a constant times the
+   corners.
 3. A match proposes a turn, a size and a shift. Two images are linked if ``INLIERS`` corners or
    more, not sharing a place, agree on these.
 4. Classes are what links join.
@@ -181,15 +182,14 @@ def _matches(found: DataFrame) -> DataFrame:
     """Pairs of corners (a_..., b_...) of two images that share a key and are near in all bits."""
     keyed = found.select("row", "corner", F.posexplode("tables").alias("table", "part")).select("row", "corner", (F.shiftleft(F.col("part").cast("long"), 4) + F.col("table")).alias("key"))
     # a bucket of one image has no pairs
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key", "size")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("row", "corner")).alias("first"), F.max("row").alias("high")).where("first.row < high").drop("high")
     crowd = stored(keyed.join(sizes, "key"))
     few, large = crowd.where(F.col("size") <= SMALL), crowd.where(F.col("size") > SMALL)
-    company = large.groupBy("row").agg(F.sum("size").alias("company"))
-    # of each large bucket one corner of the image with the most company
-    leaders = large.join(company, "row").groupBy("key").agg(F.max(F.struct("company", "row", "corner")).alias("top")).select("key", F.col("top.row").alias("a_row"), F.col("top.corner").alias("a_corner"))
     mine, theirs = (few.select("key", F.col("row").alias(f"{x}_row"), F.col("corner").alias(f"{x}_corner")) for x in "ab")
     small = mine.join(theirs, "key").where("a_row < b_row")
-    star = leaders.join(large.select("key", F.col("row").alias("b_row"), F.col("corner").alias("b_corner")), "key").where("a_row != b_row")
+    # a corner's large buckets mostly have the same first image, so it goes by the largest of them
+    own = large.groupBy(F.col("row").alias("b_row"), F.col("corner").alias("b_corner")).agg(F.max(F.struct("size", "key", "first")).alias("pick"))
+    star = own.select(F.col("pick.key").alias("key"), F.col("pick.first.row").alias("a_row"), F.col("pick.first.corner").alias("a_corner"), "b_row", "b_corner").where("a_row != b_row")
     pairs = small.unionByName(star).drop("key").distinct()
     left, right = (found.select(*[F.col(c).alias(f"{x}_{c}") for c in ("row", "corner", "y", "x", "turn", "scale", "tables")]) for x in "ab")
     both = pairs.join(left, ["a_row", "a_corner"]).join(right, ["b_row", "b_corner"])
