@@ -24,7 +24,7 @@ files are numbered by their range and place in it, and what a document's place n
 files is a running sum over one row for each file.
 
 Defined results: null is the empty text, with the end id alone; null ids come first; repeated rows
-and equal ids are kept, by their texts; an empty table gives no files and no rows.
+and equal ids are kept, by hashes of their texts; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -55,6 +55,8 @@ MAGIC = b"MTF1"
 BLOCK = 2048
 #: Ids of a file, at most, unless one document has more. Bounds what a task holds.
 FILE = 12 << 20
+#: Files whose places are broadcast, at most.
+MOST_FILES = 100_000
 #: Slots of each prediction table of a block; states of a block's weights; shift of a hash.
 _SLOTS, _STATES, _SHIFT = 512, 32, 55
 _HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64).view(np.int64)
@@ -229,7 +231,7 @@ class _Weights:
         state = np.arange(_STATES)
         second, first, same = state >> 2 & 3, state & 3, state >> 4
         start = np.stack([np.array([2, 6, 14, 30])[second] + 4 * same, np.array([2, 4, 8, 12])[first] * (1 - same) + 1, np.full(_STATES, 12)], axis=1)
-        self.counts = np.tile(start.astype(np.int32), (lanes, 1, 1)).reshape(-1)
+        self.counts, self.noted = np.tile(start.astype(np.int32), (lanes, 1, 1)).reshape(-1), []
         self.set()
 
     def set(self) -> None:
@@ -239,8 +241,12 @@ class _Weights:
         one = np.clip(n[:, 1] * 256 // total, 4, 240 - two)
         self.shares = (two + (one << 8)).astype(np.int32)
 
-    def after(self, step: int) -> None:
+    def after(self, step: int, held: np.ndarray) -> None:
+        """held: of each block its state and which prediction held, as one number."""
+        self.noted.append(held)
         if step & 127 == 0 or step in (16, 32, 64):
+            self.counts += np.bincount(np.concatenate(self.noted), minlength=len(self.counts)).astype(np.int32)
+            self.noted = []
             self.set()
             self.counts -= self.counts >> 5
 
@@ -270,10 +276,9 @@ class _Predictions:
 
     def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, kind: np.ndarray, step: int) -> None:
         for slots, at, slot, hit in ((self.slots2, self.at2, self.slot2, ids == two), (self.slots1, self.at1, self.slot1, ids == one)):
-            less = np.where(slot >> 16 > 0, slot - 0x10000, ids)
+            less = np.where(slot > 0xFFFF, slot - 0x10000, ids)
             slots[at] = np.where(hit, np.minimum(slot + 0x10000, 0x30000 | ids), less)
-        self.weights.counts[self.state * 3 + kind] += 1
-        self.weights.after(step)
+        self.weights.after(step, self.state * 3 + kind)
         self.before = ids.astype(np.int64)
 
 
@@ -416,7 +421,9 @@ def to_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     ids of their documents. Every text is followed by ``end_id``."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("number", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("content", T.BinaryType())])
-    ordered = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).repartitionByRange("id", "text").sortWithinPartitions("id", "text")
+    # ranges are sampled by the driver, which so gets hashes instead of texts
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    ordered = keyed.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
@@ -449,7 +456,9 @@ def to_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
 def from_files(files: DataFrame, id_col: str, id_type: T.DataType) -> DataFrame:
     """``id_col, start, ids``: documents of the files, ids as little-endian unsigned 32-bit integers."""
     order = files.select("part", "number", "n_ids").withColumn("base", F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = files.join(order.select("part", "number", F.coalesce("base", F.lit(0)).alias("base")), ["part", "number"])
+    order = order.select("part", "number", F.coalesce("base", F.lit(0)).alias("base"))
+    # a few bytes for each file; with very many files the contents are shuffled instead
+    placed = files.join(F.broadcast(order) if files.count() <= MOST_FILES else order, ["part", "number"])
     schema = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
