@@ -28,6 +28,14 @@ def test_pages(spark):
     assert notes.words_in_box(words, boxes).first().body == "a b\nc"
 
 
+def test_page_assembly_keeps_the_whole_prose(spark, tmp_path):
+    from marlstone.plans.note_queries import page_assembly
+
+    line = " ".join("parola" + chr(97 + i % 26) for i in range(200))
+    spark.createDataFrame([(1, f" {line}\n```a``` {line}.\n{line} ")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.page, r.body) for r in page_assembly(spark, str(tmp_path)).collect()] == [(1, f"{line} ```a``` {line}. {line}")]
+
+
 def test_styled_lines(spark):
     pieces = [(1, 1, 0.0, 0.0, 5.0, 10.0, 12.0, "P"), (1, 1, 2.0, 5.5, 20.0, 8.0, 9.0, "REFACE"), (1, 1, 0.0, 40.0, 9.0, 10.0, 12.0, "due"), (1, 1, 30.0, 0.0, 9.0, 10.0, 12.0, " sotto "), (1, 1, 30.0, 9.0, 9.0, 10.0, 12.0, " ")]
     df = spark.createDataFrame(pieces, "doc_id int, page int, top double, left_ double, width double, height double, size double, text string")
