@@ -5,12 +5,13 @@
    the smoothed patch, turned by that orientation, make its descriptor.
 2. The descriptor is cut into ``TABLES`` parts of 32 bits, the keys of Hamming tables. Corners that
    share a key, and whose descriptors differ in ``DISTANCE`` bits at most, match. In a bucket of
-   up to ``SMALL`` corners all pairs of images meet; of its larger buckets a corner goes by the
-   largest, where it meets the first image. So there are never more pairs than a constant times the
-   corners.
+   up to ``SMALL`` corners all pairs of images meet; in each larger one all meet the first corner.
 3. A match proposes a turn, a size and a shift. Two images are linked if ``INLIERS`` corners or
    more, not sharing a place, agree on these.
-4. Classes are what links join.
+4. Classes are what links join. In buckets that still hold several classes, all pairs of corners
+   across classes are then compared, in blocks, and vote again, so no class is lost that all pairs
+   of all buckets would join. Two images of one class are not compared any more: n_links leaves out
+   links of larger buckets that their class does not need.
 
 Rows are dealt by key; partial sums come before each shuffle; nothing is collected.
 
@@ -37,6 +38,8 @@ from marlstone.session import stored
 CORNERS, SCALES = 24, (1.0, 0.8)
 RADIUS, TESTS, TURNS = 12, 192, 36
 TABLES, DISTANCE, INLIERS, SMALL = TESTS // 32, 48, 4, 16
+#: Corners of a block in larger buckets, about.
+BLOCK = 1024
 _HEADER = regex.compile(rb"P([56])\s+(?:#[^\n]*\s+)*(\d+)\s+(?:#[^\n]*\s+)*(\d+)\s+(?:#[^\n]*\s+)*(\d+)\s", regex.A)
 
 
@@ -178,23 +181,83 @@ def described(media: DataFrame, *, media_col: str) -> DataFrame:
     return media.mapInArrow(run, schema)
 
 
-def _matches(found: DataFrame) -> DataFrame:
-    """Pairs of corners (a_..., b_...) of two images that share a key and are near in all bits."""
-    keyed = found.select("row", "corner", F.posexplode("tables").alias("table", "part")).select("row", "corner", (F.shiftleft(F.col("part").cast("long"), 4) + F.col("table")).alias("key"))
-    # a bucket of one image has no pairs
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("row", "corner")).alias("first"), F.max("row").alias("high")).where("first.row < high").drop("high")
-    crowd = stored(keyed.join(sizes, "key"))
-    few, large = crowd.where(F.col("size") <= SMALL), crowd.where(F.col("size") > SMALL)
-    mine, theirs = (few.select("key", F.col("row").alias(f"{x}_row"), F.col("corner").alias(f"{x}_corner")) for x in "ab")
-    small = mine.join(theirs, "key").where("a_row < b_row")
-    # a corner's large buckets mostly have the same first image, so it goes by the largest of them
-    own = large.groupBy(F.col("row").alias("b_row"), F.col("corner").alias("b_corner")).agg(F.max(F.struct("size", "key", "first")).alias("pick"))
-    star = own.select(F.col("pick.key").alias("key"), F.col("pick.first.row").alias("a_row"), F.col("pick.first.corner").alias("a_corner"), "b_row", "b_corner").where("a_row != b_row")
-    pairs = small.unionByName(star).drop("key").distinct()
-    left, right = (found.select(*[F.col(c).alias(f"{x}_{c}") for c in ("row", "corner", "y", "x", "turn", "scale", "tables")]) for x in "ab")
-    both = pairs.join(left, ["a_row", "a_corner"]).join(right, ["b_row", "b_corner"])
+_OWN = ("row", "corner", "y", "x", "turn", "scale", "tables")
+_MATCH = [f"{x}_{c}" for x in "ab" for c in _OWN if c != "tables"]
+
+
+def _as(df: DataFrame, end: str) -> DataFrame:
+    return df.withColumnsRenamed({c: f"{end}_{c}" for c in _OWN})
+
+
+def _near(df: DataFrame) -> DataFrame:
     apart = F.aggregate(F.zip_with("a_tables", "b_tables", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, n: s + n)
-    return both.where(apart <= DISTANCE).drop("a_tables", "b_tables")
+    return df.where(apart <= DISTANCE)
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """The corners (b_...) of each bucket (key, size) of two images or more, and the bucket's first
+    corner (a_...)."""
+    keyed = found.select("row", "corner", F.posexplode("tables").alias("table", "part")).select(F.col("row").alias("b_row"), F.col("corner").alias("b_corner"), (F.shiftleft(F.col("part").cast("long"), 4) + F.col("table")).alias("key"))
+    # a bucket of one image has no pairs
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("b_row", "b_corner")).alias("first"), F.max("b_row").alias("high")).where("first.b_row < high")
+    sizes = sizes.select("key", "size", F.col("first.b_row").alias("a_row"), F.col("first.b_corner").alias("a_corner")).join(_as(found, "a"), ["a_row", "a_corner"])
+    return stored(keyed.join(sizes, "key").join(_as(found, "b"), ["b_row", "b_corner"]))
+
+
+def _own(crowd: DataFrame, end: str, *more: str) -> DataFrame:
+    """The buckets' corners without their first ones, named by ``end``."""
+    return crowd.select("key", *[F.col(f"b_{c}").alias(f"{end}_{c}") for c in _OWN], *[F.col(c).alias(f"{end}_{c}") for c in more])
+
+
+def _matches(crowd: DataFrame) -> DataFrame:
+    """Pairs of near corners (a_..., b_...) of two images: all of small buckets, and those with the
+    first corner of large ones."""
+    few = crowd.where(F.col("size") <= SMALL)
+    small = _own(few, "a").join(_own(few, "b"), "key").where("a_row < b_row")
+    star = crowd.where(F.col("size") > SMALL).where("a_row != b_row")
+    return _near(small.drop("key").unionByName(star.drop("key", "size"))).select(_MATCH).dropDuplicates(["a_row", "a_corner", "b_row", "b_corner"])
+
+
+def _across(crowd: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs of near corners that share a bucket, of images of different classes."""
+    known = crowd.join(roots.withColumnRenamed("node", "b_row"), "b_row", "left").withColumn("root", F.coalesce("root", "b_row"))
+    known = stored(known.select("key", "size", *[f"b_{c}" for c in _OWN], "root"))
+    several = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("b_row", "root")).alias("first")).where("low != high")
+    rest = stored(known.join(several.select("key", F.col("first.root").alias("first_root")), "key"))
+    few, many = rest.where(F.col("size") <= SMALL), rest.where(F.col("size") > SMALL)
+    # a pair counts in the first of its tables only
+    table = F.array_position(F.zip_with("a_tables", "b_tables", lambda a, b: a == b), F.lit(True)) - 1
+    small = _near(_own(few, "a", "root").join(_own(few, "b", "root"), "key").where("a_row < b_row and a_root != b_root")).where(F.col("key").bitwiseAND(F.lit(15)) == table)
+    return small.select(_MATCH).unionByName(_across_blocks(many))
+
+
+def _across_blocks(many: DataFrame) -> DataFrame:
+    """``_across`` in large buckets; those outside the first corner's class meet all corners, in blocks."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = many.withColumn("leading", F.col("root") == F.col("first_root")).withColumn("part", F.pmod(F.xxhash64("b_row", "b_corner"), blocks).cast("int"))
+    asking = dealt.where("not leading").select("*", F.col("part").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"), F.lit(True).alias("asks"))
+    asked = dealt.select("*", F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"), F.lit(False).alias("asks"))
+    rows = asking.unionByName(asked).select("key", "i", "j", "asks", "leading", "root", *[F.col(f"b_{c}").alias(c) for c in _OWN])
+    schema = T.StructType([T.StructField(f"{x}_{c}", rows.schema[c].dataType) for x in "ab" for c in _OWN if c != "tables"])
+    arrow = to_arrow_schema(schema)
+
+    def run(block: pa.Table) -> pa.Table:
+        asks, leading, root, row = (block[c].to_numpy() for c in ("asks", "leading", "root", "row"))
+        mine, theirs = np.flatnonzero(asks), np.flatnonzero(~asks)
+        parts = block["tables"].combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
+        words = np.ascontiguousarray(parts).view(np.uint64)
+        apart = np.zeros((len(mine), len(theirs)), np.uint8)
+        for k in range(words.shape[1]):
+            apart += np.bitwise_count(words[mine, k][:, None] ^ words[theirs, k][None, :])
+        i, j = np.nonzero((apart <= DISTANCE) & (root[mine][:, None] != root[theirs][None, :]))
+        i, j = mine[i], theirs[j]
+        # two that are outside the first class ask each other; a pair counts in the first of its tables
+        once = (leading[j] | (row[i] < row[j])) & ((parts[i] == parts[j]).argmax(axis=1) == block["key"][0].as_py() % 16)
+        i, j = i[once], j[once]
+        low, high = np.where(row[i] < row[j], i, j), np.where(row[i] < row[j], j, i)
+        return pa.table([block[name[2:]].take(pa.array(low if name[0] == "a" else high)) for name in arrow.names], schema=arrow)
+
+    return rows.groupBy("key", "i", "j").applyInArrow(run, schema)
 
 
 def _links(matches: DataFrame, inliers: int) -> DataFrame:
@@ -216,11 +279,13 @@ def _links(matches: DataFrame, inliers: int) -> DataFrame:
 
 def image_copies(media: DataFrame, *, id_col: str, media_col: str, inliers: int = INLIERS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep``, class_id (the class's smallest id), class_size and n_links
-    (images that were found linked to this one) of every row."""
+    (images that were found linked to this one, at least one in a class of several) of every row."""
     numbered = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())
     # written once, so that row numbers hold and images aren't described again
     rows = stored(described(numbered, media_col="media"))
-    links = stored(_links(_matches(rows.select("row", F.inline("corners"))), inliers))
+    crowd = _met(rows.select("row", F.inline("corners")))
+    first = stored(_links(_matches(crowd), inliers))
+    links = first.union(stored(_links(_across(crowd, components(first)), inliers)))
     ends = links.select(F.col("a").alias("row")).union(links.select(F.col("b").alias("row"))).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
     classed = rows.drop("corners").join(components(links).withColumnRenamed("node", "row"), "row", "left").join(ends, "row", "left").withColumn("root", F.coalesce("root", "row"))
     classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))

@@ -150,6 +150,52 @@ def test_image_defined_cases(spark):
     assert imagecopies.image_copies(none, id_col="id", media_col="media").count() == 0
 
 
+def brute_image_classes(images, inliers=imagecopies.INLIERS):
+    """The smallest number of each image's class, by all pairs of corners of all pairs of images."""
+    corners = []
+    for image in images:
+        d = imagecopies.describe(np.rint(image)[None])
+        corners.append(d | {"tables": d["bits"].copy().view("<i4"), "wide": np.unpackbits(d["bits"], axis=1)})
+    root = list(range(len(images)))
+    for a, x in enumerate(corners):
+        for b, y in list(enumerate(corners))[a + 1 :]:
+            near = (x["tables"][:, None] == y["tables"][None]).any(axis=2) & ((x["wide"][:, None] != y["wide"][None]).sum(axis=2) <= imagecopies.DISTANCE)
+            votes = {}
+            for i, j in zip(*np.nonzero(near), strict=True):
+                turn, grow = (y["turn"][j] - x["turn"][i]) % (2 * np.pi), int(y["scale"][j] - x["scale"][i])
+                size = (imagecopies.SCALES[0] / imagecopies.SCALES[1]) ** grow
+                dy = y["y"][j] - size * (x["y"][i] * np.cos(turn) + x["x"][i] * np.sin(turn))
+                dx = y["x"][j] - size * (x["x"][i] * np.cos(turn) - x["y"][i] * np.sin(turn))
+                for half in np.ndindex(2, 2, 2):
+                    cell = (half, grow, int(np.floor(dy / 16 + half[0] / 2)), int(np.floor(dx / 16 + half[1] / 2)), int(np.floor((turn * 12 / (2 * np.pi) + half[2] / 2) % 12)))
+                    votes.setdefault(cell, set()).add((np.floor(x["y"][i] / 2 + 0.5), np.floor(x["x"][i] / 2 + 0.5)))
+            if any(len(v) >= inliers for v in votes.values()):
+                root = [root[a] if r == root[b] else r for r in root]
+    return [root.index(r) for r in root]
+
+
+@pytest.mark.parametrize(("small", "block"), [(16, 1024), (2, 5)])
+def test_copies_meet_beyond_a_buckets_first_image(spark, monkeypatch, small, block):
+    # images of one frame, of which the first is of no other's kind
+    monkeypatch.setattr(imagecopies, "SMALL", small)
+    monkeypatch.setattr(imagecopies, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    stamp = imagecopies.drawn(rng.normal(size=(1, 64)), 40)[0]
+    kinds = imagecopies.drawn(rng.normal(size=(12, 64)))
+    images = []
+    for k in [0, *range(1, 12), *range(1, 12)]:
+        image = np.zeros((100, 140))
+        image[10:90, 10:90] = kinds[k]
+        image[30:70, 95:135] = stamp
+        images.append(np.clip(image * (1 if len(images) < 12 else 0.9), 0, 255))
+    media = spark.createDataFrame([(i, imagecopies.encode_pgm(x)) for i, x in enumerate(images)], "id long, media binary").coalesce(1)
+    for inliers in (4, 12, 24):
+        found = {r.id: r for r in imagecopies.image_copies(media, id_col="id", media_col="media", inliers=inliers).collect()}
+        expected = brute_image_classes(images, inliers)
+        assert [found[i].class_id for i in range(len(images))] == expected
+        assert all((found[i].n_links > 0) == (expected.count(expected[i]) > 1) for i in found)
+
+
 def pipeline_docs(spark):
     rng = random.Random(8)
     clean = [" ".join(rng.choice("the and of in house garden river stone walks over under light grey morning evening".split()) for _ in range(120)) for _ in range(25)]
