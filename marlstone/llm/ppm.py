@@ -8,14 +8,16 @@ empty context all 256 bytes cost 8. Statistics are frozen after fitting, so a by
 on the bytes before it only; costs are kept as integers (1/1024 bit) and sums are exact. The
 language that codes a text in the fewest bits wins, the first by name among equals.
 
-The trees of all languages share their nodes, those of the most frequent contexts (a context
-counts as often as its longer ones together, so the tree is whole): ``nodes`` at most. That
-bounds the model, which is broadcast, to nodes * bytes in use * languages * 4 bytes. All texts of
+The trees of all languages share their nodes, ``nodes`` at most: the most frequent contexts of each
+language in turn, so that a rare language has as many of its own (a context counts as often as its
+longer ones together, so the tree is whole). The model, which is broadcast, takes
+nodes * bytes in use * languages * 4 bytes; every value of the language column is learned. All texts of
 a batch are scored together: the context of each byte is found by walking the tree backwards,
 a table look-up for each of the ``order`` steps.
 
 Fitting takes about ``per_language`` documents of each language, picked by the hash of their ids
-among those of at most ``longest`` bytes. Every text is scored whole.
+among those of at most ``longest`` bytes; of a language that has only longer ones, from a slice of
+each, of at most as many bytes, that begins where the hash says. Every text is scored whole.
 
 Defined results: null, and texts without a letter, are ``und`` with the score 0; so is every
 text if no language was learned. Repeated rows are scored one by one. A text is coded from the
@@ -24,7 +26,7 @@ empty context on.
 
 from __future__ import annotations
 
-from collections import Counter
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,8 +43,6 @@ ORDER = 4
 NODES = 6000
 #: Documents of each language from which it is learned, about; and the largest of these in bytes.
 PER_LANGUAGE, LONGEST = 400, 50_000
-#: Languages, at most.
-LANGUAGES = 200
 _UNIT = 1024
 _LETTER = regex.compile(r"\p{L}")
 
@@ -74,9 +74,10 @@ def fit(texts: dict[str, list[str]], *, order: int = ORDER, nodes: int = NODES)
     if size ** (order + 1) >= 2**63:
         raise ValueError("order is too high for this many bytes")
     seen: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    totals: list[Counter] = [Counter() for _ in range(order + 1)]
+    # of each context, its best place among those of a language
+    places: dict[tuple[int, int], int] = {}
     for lang in languages:
-        own = []
+        own, totals = [], []
         for k in range(order + 1):
             keys = []
             for b in data[lang]:
@@ -90,11 +91,12 @@ def fit(texts: dict[str, list[str]], *, order: int = ORDER, nodes: int = NODES)
             own.append(found)
             contexts, where = np.unique(found[0] // size, return_inverse=True)
             sums = np.bincount(where, weights=found[1]) if len(contexts) else []
-            totals[k].update(dict(zip(contexts.tolist(), map(int, sums), strict=True)))
+            totals += [(-int(n), k, c) for c, n in zip(contexts.tolist(), sums, strict=True)] if k else []
+        for place, (_, k, c) in enumerate(heapq.nsmallest(nodes - 1, totals)):
+            places[k, c] = min(place, places.get((k, c), place))
         seen.append(own)
 
-    ranked = sorted(((-n, k, c) for k in range(1, order + 1) for c, n in totals[k].items()))[: nodes - 1]
-    chosen = {(k, c) for _, k, c in ranked}
+    chosen = set(sorted(places, key=lambda x: (places[x], x))[: nodes - 1])
     # a context whose shorter one was cut off at an equal count goes with it
     for k in range(2, order + 1):
         chosen -= {(k, c) for kk, c in list(chosen) if kk == k and (k - 1, c % size ** (k - 1)) not in chosen}
@@ -160,14 +162,21 @@ def held_out(id_: Column) -> Column:
 
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, longest: int = LONGEST, order: int = ORDER, nodes: int = NODES) -> Model:
     """The model of the labelled rows that are not held out."""
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & (F.octet_length("text") <= longest))
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = F.lit(False)
-    for row in sizes:
-        limit = min(1 << 30, (per_language << 30) // row["count"])
-        share |= (F.col("lang") == row["lang"]) & (F.xxhash64("id", F.lit("learn")).bitwiseAND(F.lit((1 << 30) - 1)) < limit)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
+    fits = F.octet_length("text") <= longest
+    sizes = own.groupBy("lang").agg(F.count_if(fits).alias("short"), F.count(F.lit(1)).alias("all")).orderBy("lang").collect()
+    if not sizes:
+        return fit({}, order=order, nodes=nodes)
+    # a map in the plan, so that texts are not dealt by language
+    of = lambda value: F.try_element_at(F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], value(row))]), F.col("lang"))
+    picked = own.withColumn("sliced", of(lambda row: row["short"] == 0)).withColumn("share", of(lambda row: min(1 << 30, (per_language << 30) // (row["short"] or row["all"]))))
+    picked = picked.where((F.col("sliced") | fits) & (F.xxhash64("id", F.lit("learn")).bitwiseAND(F.lit((1 << 30) - 1)) < F.col("share")))
+    # a character has up to four bytes
+    room = max(1, longest // 4)
+    begin = F.pmod(F.xxhash64("id", F.lit("slice")), F.greatest(F.lit(1), F.length("text") - room + 1)).cast("int") + 1
+    picked = picked.withColumn("text", F.when(F.col("sliced"), F.substring("text", begin, F.lit(room))).otherwise(F.col("text")))
     # about per_language of each language, and never more than twice that
-    rows = own.where(share).select("lang", "text").limit(2 * per_language * max(1, len(sizes))).collect()
+    rows = picked.select("lang", "text").limit(2 * per_language * max(1, len(sizes))).collect()
     texts: dict[str, set[str]] = {row["lang"]: set() for row in sizes}
     for row in rows:
         texts[row["lang"]].add(row["text"])

@@ -156,6 +156,23 @@ def test_ppm_with_few_nodes_keeps_a_whole_tree():
     assert len(model.costs) <= 8 and (ppm.code_lengths(model, [b"abcabc"])[0, 0] < ppm.code_lengths(model, [b"abcabc"])[0, 1])
 
 
+def test_ppm_keeps_contexts_of_a_rare_language():
+    rng = random.Random(4)
+    texts = {"xx": [" ".join("".join(rng.choices("abcdefghijklm", k=5)) for _ in range(4000))], "yy": ["tuvw tuvw zyxw "]}
+    model = ppm.fit(texts, order=4, nodes=200)
+    assert len(model.costs) <= 200
+    assert ppm.code_lengths(model, [b"tuvw tuvw zyxw "])[0, 1] / 1024 == pytest.approx(brute_cost(texts["yy"], "tuvw tuvw zyxw ", 4), abs=0.15)
+
+
+def test_every_language_is_learned(spark):
+    rows = [(300 * i + k, f"{chr(97 + i % 26)}{chr(97 + i // 26)}" * 8, f"l{i:03}") for i in range(205) for k in range(8)]
+    rows += [(-k, "zażółć gęślą jaźń " * 40, "long") for k in range(1, 30)]
+    model = ppm.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), longest=100, nodes=1000)
+    assert model.languages == tuple(sorted({r[2] for r in rows}))
+    own = model.languages.index("long")
+    assert ppm.code_lengths(model, ["zażółć gęślą jaźń".encode()])[0].argmin() == own
+
+
 def test_language_defined_cases(spark):
     rows = [(i, "the cat and the dog of the house " * 3, "en") for i in range(30)] + [(i, "la casa de la luna y el sol " * 3, "es") for i in range(30, 60)]
     rows += [(100, None, "en"), (101, "", "en"), (102, "12 !! 34", "en"), (103, "the dog", None), (None, "la luna", "es"), (104, "la casa " * 20000, None)]
