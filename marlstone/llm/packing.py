@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import chunks
-from marlstone.llm.tokenfiles import TOKEN_CHUNK, ended, library_encoder
+from marlstone.llm.pieces import TOKEN_CHUNK, ended, library_encoder
 
 #: Documents of a group, about.
 GROUP = 8192

@@ -29,13 +29,9 @@ and equal ids are kept, by hashes of their texts; an empty table gives no files
 
 from __future__ import annotations
 
-import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,11 +41,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import chunks
+from marlstone.llm.pieces import TOKEN_CHUNK, ended, library_encoder
 from marlstone.session import shared_folder
 
-#: Bytes of text that are encoded at once: more than elsewhere, as each distinct piece is looked up once.
-TOKEN_CHUNK = 6 << 20
-
 MAGIC = b"MTF1"
 #: Ids of a block.
 BLOCK = 2048
@@ -63,156 +57,6 @@ _HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64).view
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
 _HEAD = struct.Struct("<4sQIIIII")
 
-#: White space as the tokenizers see it (the Unicode property), in ASCII and beyond.
-_SPACE = b"\t\n\x0b\x0c\r "
-_WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_IS_SPACE = np.isin(np.arange(256), np.frombuffer(_SPACE, np.uint8))
-_TO_SPACE = bytes.maketrans(_SPACE, b" " * len(_SPACE))
-#: How a tokenizer that drops white space cuts words of these characters, apostrophes left out.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_CUT_LIKE = re.compile(f"[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
-_PLAIN = re.compile(f"[!-&(-~{_LETTERS}]+ ")
-#: A space, and no white space behind it.
-_SPACE_FIRST = re.compile("[ ][^\t-\r ]+")
-
-
-#: Pieces of a string.
-_JOINED = 1000
-
-
-class LibraryEncoder:
-    """The tokenizers library's ids of texts, by distinct pieces that it encodes separately.
-
-    A piece is a run of white space and what follows up to the next one, which byte-level
-    tokenizers never join across; for tokenizers that drop white space (``bare``) a word and a
-    space. Pieces of a batch are found as offsets into its bytes and numbered by Arrow; each
-    distinct one is looked up once, and encoded if it isn't cached. Where there are more than
-    ``most`` entries, those stay that more than one batch has met. Texts with white space beyond
-    ASCII go to the library whole.
-    """
-
-    def __init__(self, path: str, bare: bool, *, most: int = 400_000, longest: int = 32):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.bare, self.most, self.longest = Tokenizer.from_file(path), bare, most, longest
-        self.model.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = np.dtype("<u2" if self.model.get_vocab_size() <= 1 << 16 else "<u4")
-        # which tokens end a word, or (with white space kept) begin with a space
-        marks = [i for token, i in self.model.get_vocab().items() if (token.endswith("</w>") if bare else token.startswith("\u0120"))]
-        self.marks = np.isin(np.arange(self.model.get_vocab_size()), marks)
-        self.cache: dict[bytes, bytes] = {}
-        self.again: set[bytes] = set()
-
-    def library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes
-
-    def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all pieces, and their numbers.
-
-        Plain pieces go to the library many in a string, which is faster, if its tokens tell where
-        each begins or ends: with white space kept by the space that each begins with, else by the
-        words' ends, of which a piece has as many as parts that it is cut into.
-        """
-        fits = (_PLAIN if self.bare else _SPACE_FIRST).fullmatch
-        plain = [w for w in pieces if fits(w)]
-        if not plain:
-            return self.library(pieces)
-        strings = ["".join(plain[k : k + _JOINED]) for k in range(0, len(plain), _JOINED)]
-        ids = np.concatenate([np.array(x.ids, self.dtype) for x in self.model.encode_batch_fast(strings, add_special_tokens=False)])
-        marked = np.flatnonzero(self.marks[ids])
-        parts = np.cumsum([len(_CUT_LIKE.findall(w.rstrip(" "))) for w in plain]) if self.bare else np.arange(1, len(plain) + 1)
-        if len(marked) != parts[-1]:
-            return self.library(pieces)
-        ends = marked[parts - 1] + 1 if self.bare else np.concatenate([marked[1:], [len(ids)]])
-        sizes = np.diff(ends, prepend=0)
-        return (ids, sizes) if len(plain) == len(pieces) else self._merged(pieces, plain, ids, sizes)
-
-    def _merged(self, pieces: list[str], plain: list[str], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Results of ``plain`` and of the other pieces in their common order."""
-        known = set(plain)
-        other_ids, other_sizes = self.library([w for w in pieces if w not in known])
-        whole, rest = iter(np.split(ids, np.cumsum(sizes)[:-1])), iter(np.split(other_ids, np.cumsum(other_sizes)[:-1]))
-        found = [next(whole) if w in known else next(rest) for w in pieces]
-        return np.concatenate(found), np.array([len(x) for x in found])
-
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of all texts, one after another, and the number of each text's ids."""
-        wide = [i for i, t in enumerate(texts) if not t.isascii() and _WIDE_SPACE.search(t)]
-        if not wide:
-            return self._by_pieces(texts)
-        chosen = set(wide)
-        plain = [i for i in range(len(texts)) if i not in chosen]
-        out: list = [None] * len(texts)
-        for numbers, (ids, sizes) in ((plain, self._by_pieces([texts[i] for i in plain])), (wide, self.library([texts[i] for i in wide]))):
-            for i, own in zip(numbers, np.split(ids, np.cumsum(sizes)[:-1]), strict=True) if numbers else ():
-                out[i] = own
-        return np.concatenate([np.zeros(0, self.dtype), *out]), np.array([len(x) for x in out], np.int64)
-
-    def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
-        if self.bare:
-            data = [b.translate(_TO_SPACE) + b" " for b in data]
-        joined = b"".join(data)
-        flat = np.frombuffer(joined, np.uint8)
-        text_ends = np.cumsum([len(b) for b in data], dtype=np.int64)
-        if self.bare:
-            cuts = np.flatnonzero(flat == 32) + 1
-            offsets = np.concatenate([[0], cuts]).astype(np.int32)
-        else:
-            space = _IS_SPACE[flat]
-            starts = space.copy()
-            starts[1:] &= ~space[:-1]
-            own = np.array([len(b) for b in data], np.int64)
-            starts[(text_ends - own)[own > 0]] = True
-            offsets = np.concatenate([np.flatnonzero(starts), [len(flat)]]).astype(np.int32)
-        n = len(offsets) - 1
-        if not n:
-            return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
-        coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
-        number, found = coded.indices.to_numpy(), self._ids(coded.dictionary.to_pylist())
-        held = np.frombuffer(b"".join(found), self.dtype)
-        own = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
-        first = np.cumsum(own) - own
-        sizes = own[number]
-        ends = np.cumsum(sizes)
-        place = np.repeat(first[number] - (ends - sizes), sizes)
-        place += np.arange(len(place))
-        until = np.concatenate([[0], ends])[np.searchsorted(offsets, text_ends)]
-        return held[place], np.diff(until, prepend=0)
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > self.most:
-            kept = self.again if len(self.again) < self.most // 2 else ()
-            cache = self.cache = {piece: cache[piece] for piece in kept}
-            self.again = set()
-        found = list(map(cache.get, pieces))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        self.again.update(piece for piece, ids in zip(pieces, found, strict=True) if ids is not None)
-        if new:
-            ids, sizes = self.encode([pieces[i].decode("utf-8", "surrogatepass") for i in new])
-            flat, ends = ids.astype(self.dtype).tobytes(), (np.cumsum(sizes) * self.dtype.itemsize).tolist()
-            at = 0
-            for i, end in zip(new, ends, strict=True):
-                found[i] = flat[at:end]
-                at = end
-                if len(pieces[i]) <= self.longest:
-                    cache[pieces[i]] = found[i]
-        return found
-
-
-@lru_cache(maxsize=4)
-def library_encoder(path: str, bare: bool = False) -> LibraryEncoder:
-    return LibraryEncoder(path, bare)
-
-
-def ended(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids with ``end_id`` behind each text's, and the numbers with it."""
-    return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
-
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Used ids, their counts scaled to 2^bits with 1 at least, and bits."""

@@ -13,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlstone.llm import licences, packing, ppm, quality, secrets, spbpe, tokenfiles
+from marlstone.llm import licences, packing, pieces, ppm, quality, secrets, spbpe, tokenfiles
 
 WS = " \t\n\x0b\x0c\r"
 WORDS = "the and of in an on thation erine shanre wh, ore. anon; été straße don't 12 3.5 x=1".split()
@@ -298,7 +298,7 @@ def library_ids(name, texts):
 
 @pytest.mark.parametrize(("name", "bare"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_pieces_equal_the_library_on_whole_texts(name, bare):
-    encoder = tokenfiles.LibraryEncoder(public_tokenizers.path(name), bare, most=60)
+    encoder = pieces.LibraryEncoder(public_tokenizers.path(name), bare, most=60)
     odd = ["a  b", "a \n\n b \t", "<|endoftext|>x <|endoftext|>", "x\x1c\x1dy", "İstanbul ΣΑΣ ﬁ é", "!\x01' s", "l'été d'or 'S it's", "¿qué? «ça» 3,5 a1b2 x²", "ª º µ ß ẞ", "\u3000x\u2003y", "\x00 \x7f ~ ^_`"]
     texts = [*made(7), *odd]
     for part in (texts, texts[::-1], odd, [], ["", ""]):
