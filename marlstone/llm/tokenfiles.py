@@ -1,22 +1,25 @@
 """Token-id files: an adaptive context-mixing range coder over ids, in blocks.
 
 A file holds the ids of documents, one after another, cut into blocks of ``BLOCK`` ids. Every
-block starts from the same state (the file's order-0 table and empty predictions), has its own
-checksum, and can be decoded without the others.
+block starts from the same state (the file's order-0 table, equal classes and empty predictions),
+has its own checksum, and can be decoded without the others.
 
 The probability of an id mixes three predictions. Order 2 and order 1 each name the id that last
-followed the same two ids (the same id) in the block, with a confidence of 0 to 3; order 0 is the
-file's table of counts. The weights are learned while coding: for each pair of confidences a block
-counts which prediction held, and sets the weights by these counts from time to time. A range
-coder with 48 bits turns that into bytes: one step decides among the predictions, a second one
-gives the id by order 0 where neither held. Sums are integers, so every machine decodes alike.
+followed the same two ids (the same id) in the block, with a confidence of 0 to 3. Order 0 parts
+the file's ids, most frequent first, into ``CLASSES`` of equal weight; how often each class comes is
+learned within the block, and within a class the file's counts hold. The weights of the
+predictions are learned as well: for each pair of confidences a block counts which prediction
+held. Weights and classes follow their counts from time to time, while coding. A range coder with
+48 bits turns that into bytes: one step decides among the two predictions and the classes, a
+second one gives the id within its class where neither held. Sums are integers, so every machine
+decodes alike.
 
 A coder must go through a block id by id, but the blocks of a file don't wait for each other:
 step t of all of them is one set of numpy operations over an array with an element for each block.
 
-File: magic, sizes (numbers of ids, documents, blocks, used ids, bits of the order-0 table), then
-the lengths of documents (zlib), the order-0 table, and for each block its length and crc32, and
-the blocks. A block that fails its checksum raises an error that names it.
+File: magic, sizes (numbers of ids, documents, blocks, used ids, bytes of lengths and table), the
+lengths of documents (zlib), the order-0 table (zlib), for each block its length and crc32, the
+crc32 of all that, and the blocks. Where a checksum fails, an error names the block or the head.
 
 Files are values of a binary column, written as Parquet by Spark, so they go to whatever store
 Spark can reach; a task's partial output never counts. Rows are dealt out by ranges of the id,
@@ -44,9 +47,11 @@ from marlstone.llm.common import chunks
 from marlstone.llm.pieces import TOKEN_CHUNK, ended, library_encoder
 from marlstone.session import shared_folder
 
-MAGIC = b"MTF1"
+MAGIC = b"MTF2"
 #: Ids of a block.
 BLOCK = 2048
+#: Classes of order 0.
+CLASSES = 8
 #: Ids of a file, at most, unless one document has more. Bounds what a task holds.
 FILE = 12 << 20
 #: Files whose places are broadcast, at most.
@@ -55,17 +60,70 @@ MOST_FILES = 100_000
 _SLOTS, _STATES, _SHIFT = 512, 32, 55
 _HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64).view(np.int64)
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
+#: Bits of the parts of 1 by which a class's ids, and (with 8 bits of weights) classes, are told.
+_ID_BITS, _CLASS_BITS = 16, 6
 _HEAD = struct.Struct("<4sQIIIII")
 
 
-def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Used ids, their counts scaled to 2^bits with 1 at least, and bits."""
-    counts = np.bincount(ids)
-    used = np.flatnonzero(counts)
-    bits = 16 if len(used) <= 1 << 14 else 18
-    shares = 1 + counts[used] * ((1 << bits) - len(used)) // len(ids)
-    shares[shares.argmax()] += (1 << bits) - shares.sum()
-    return used, shares, bits
+class Order0:
+    """What order 0 knows of a file: its used ids and their counts of 1 to 65535, which are stored.
+
+    kind: the class of each id; share and before: of 2^16, in its class, in order of rank; id_at:
+    the id of each class and part."""
+
+    def __init__(self, used: np.ndarray, counts: np.ndarray):
+        self.used, self.counts = used, counts
+        rank = np.lexsort((used, -counts))
+        ids, weight = used[rank], counts[rank].astype(np.int64)
+        kind = (np.cumsum(weight) - weight) * CLASSES // weight.sum()
+        size, total = np.bincount(kind, minlength=CLASSES), np.bincount(kind, weight, CLASSES).astype(np.int64)
+        share = 1 + weight * ((1 << _ID_BITS) - size[kind]) // total[kind]
+        first = np.cumsum(size) - size
+        some = size > 0  # what is left over goes to the class's most frequent id
+        share[first[some]] += (1 << _ID_BITS) - np.add.reduceat(share, first[some])
+        ends = np.cumsum(share)
+        self.share, self.before, self.kind = (np.zeros(int(used[-1]) + 1, np.int64) for _ in range(3))
+        self.share[ids], self.kind[ids] = share, kind
+        self.before[ids] = ends - share - (np.cumsum(some) - 1)[kind] * (1 << _ID_BITS)
+        self.id_at = np.zeros((CLASSES, 1 << _ID_BITS), np.int32)
+        self.id_at[some] = np.repeat(ids, share).reshape(-1, 1 << _ID_BITS)
+        self.id_at = self.id_at.ravel()
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> Order0:
+        counts = np.bincount(ids)
+        used = np.flatnonzero(counts)
+        return cls(used, np.maximum(1, counts[used] * 65535 // counts.max()))
+
+
+class _Classes:
+    """The learned shares, of 2^6, of the classes of order 0 in each block."""
+
+    def __init__(self, lanes: int):
+        self.base = np.arange(lanes) * CLASSES
+        self.counts, self.noted = np.full(lanes * CLASSES, 4, np.int32), []
+        self.set()
+
+    def set(self) -> None:
+        ends = np.cumsum(self.counts.reshape(-1, CLASSES), axis=1)
+        ends = np.arange(1, CLASSES + 1) + ends * ((1 << _CLASS_BITS) - CLASSES) // ends[:, -1:]
+        self.share = np.diff(ends, axis=1, prepend=0).ravel()
+        self.before = ends.ravel() - self.share
+        self.at: np.ndarray | None = None
+
+    def class_at(self, lane: np.ndarray, part: np.ndarray) -> np.ndarray:
+        if self.at is None:
+            self.at = np.repeat(np.tile(np.arange(CLASSES, dtype=np.uint8), len(self.base)), self.share)
+        return self.at.take((lane << _CLASS_BITS) + part)
+
+    def after(self, step: int, number: np.ndarray) -> None:
+        """number: CLASSES * block + class, of the blocks whose id came from order 0."""
+        self.noted.append(number)
+        if step & 127 == 0 or step in (16, 32, 64):
+            self.counts += np.bincount(np.concatenate(self.noted), minlength=len(self.counts)).astype(np.int32)
+            self.noted = []
+            self.set()
+            self.counts -= self.counts >> 5
 
 
 class _Weights:
@@ -126,35 +184,35 @@ class _Predictions:
         self.before = ids.astype(np.int64)
 
 
-def encode_blocks(ids: np.ndarray, used: np.ndarray, shares: np.ndarray, bits: int) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, table: Order0) -> list[bytes]:
     """The bytes of each block. The last one is filled up with its first id."""
     lanes = -(-len(ids) // BLOCK)
     width = min(BLOCK, len(ids))
     grid = np.full(lanes * width, ids[-1], np.int32)
     grid[: len(ids)] = ids
     steps = np.ascontiguousarray(grid.reshape(lanes, width).T)
-    share, cum = np.zeros(int(used[-1]) + 1, np.int64), np.zeros(int(used[-1]) + 1, np.int64)
-    share[used], cum[used] = shares, np.cumsum(shares) - shares
     most = 2 * width + 8
     out, start = np.zeros(lanes * most, np.uint32), np.arange(lanes) * most
     put = start.copy()
     low, reach = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
-    known = _Predictions(lanes)
+    known, classes = _Predictions(lanes), _Classes(lanes)
     for t in range(width):
         x = steps[t]
         two, one, share2, share1 = known.look()
         hit2 = x == two
         kind = np.where(hit2, 0, np.where(x == one, 1, 2))
-        part = reach >> 8
-        edge2 = part * share2
-        edge1 = edge2 + part * share1
+        part = reach >> 8 + _CLASS_BITS
+        edge2 = part * (share2 << _CLASS_BITS)
+        edge1 = edge2 + part * (share1 << _CLASS_BITS)
         low += np.where(hit2, 0, np.where(kind == 1, edge2, edge1))
-        reach = np.where(hit2, edge2, np.where(kind == 1, edge1 - edge2, reach - edge1))
+        reach = np.where(hit2, edge2, edge1 - edge2)
         rest = np.flatnonzero(kind == 2)
         own = x.take(rest)
-        part = reach.take(rest) >> bits
-        low[rest] += part * cum.take(own)
-        reach[rest] = part * share.take(own)
+        number = classes.base.take(rest) + table.kind.take(own)
+        unit = part.take(rest) * (256 - share2 - share1).take(rest)
+        part = unit * classes.share.take(number) >> _ID_BITS
+        low[rest] += unit * classes.before.take(number) + part * table.before.take(own)
+        reach[rest] = part * table.share.take(own)
         short = np.flatnonzero(reach < _LOW)
         while len(short):
             some = low.take(short)
@@ -165,6 +223,7 @@ def encode_blocks(ids: np.ndarray, used: np.ndarray, shares: np.ndarray, bits: i
             reach[short] = wider
             short = short[wider < _LOW]
         known.learn(x, two, one, kind, t + 1)
+        classes.after(t + 1, number)
     for _ in range(3):
         out[put] = low >> 32
         put += 1
@@ -176,40 +235,40 @@ def encode_blocks(ids: np.ndarray, used: np.ndarray, shares: np.ndarray, bits: i
     return [words[a:b].tobytes() for a, b in zip(start.tolist(), put.tolist(), strict=True)]
 
 
-def decode_blocks(blocks: list[bytes], width: int, used: np.ndarray, shares: np.ndarray, bits: int) -> np.ndarray:
+def decode_blocks(blocks: list[bytes], width: int, table: Order0) -> np.ndarray:
     """The ids of the blocks, ``width`` of each, one block after another."""
     lanes = len(blocks)
     ends = np.cumsum([len(b) // 2 for b in blocks])
     # a block may be asked for a few words behind its end; what they hold doesn't matter
     words = np.concatenate([np.frombuffer(b"".join(blocks), "<u2").astype(np.int64), np.zeros(8, np.int64)])
     get = np.concatenate([[0], ends[:-1]])
-    cum = np.cumsum(shares) - shares
-    # the id whose part of order 0 holds each place
-    place = np.repeat(np.arange(len(used)), shares)
-    own_ids = used.astype(np.int32)
     code = words[get] << 32 | words[get + 1] << 16 | words[get + 2]
     get = get + 3
     reach = np.full(lanes, _FULL, np.int64)
-    known = _Predictions(lanes)
+    known, classes = _Predictions(lanes), _Classes(lanes)
     steps = np.zeros((width, lanes), np.uint16)
     for t in range(width):
         two, one, share2, share1 = known.look()
-        part = reach >> 8
-        edge2 = part * share2
-        edge1 = edge2 + part * share1
+        part = reach >> 8 + _CLASS_BITS
+        edge2 = part * (share2 << _CLASS_BITS)
+        edge1 = edge2 + part * (share1 << _CLASS_BITS)
         past2, past1 = code >= edge2, code >= edge1
         kind = past2.astype(np.int64) + past1
         x = np.where(past2, one, two)
         code -= np.where(past1, edge1, np.where(past2, edge2, 0))
-        reach = np.where(past1, reach - edge1, np.where(past2, edge1 - edge2, edge2))
+        reach = np.where(past2, edge1 - edge2, edge2)
         rest = np.flatnonzero(past1)
-        part = reach.take(rest) >> bits
         left = code.take(rest)
-        # below 2^53, and quotients below 2^18, so that the division of floats is exact
-        at = place.take(np.minimum((left / part).astype(np.int64), len(place) - 1))
-        x[rest] = own_ids.take(at)
-        code[rest] = left - part * cum.take(at)
-        reach[rest] = part * shares.take(at)
+        unit = part.take(rest) * (256 - share2 - share1).take(rest)
+        # numbers below 2^53 and quotients below 2^16, so that the division of floats is exact
+        held = classes.class_at(rest, np.minimum((left / unit).astype(np.int64), (1 << _CLASS_BITS) - 1))
+        number = classes.base.take(rest) + held
+        left -= unit * classes.before.take(number)
+        part = unit * classes.share.take(number) >> _ID_BITS
+        own = table.id_at.take((held.astype(np.int64) << _ID_BITS) + np.minimum((left / part).astype(np.int64), (1 << _ID_BITS) - 1))
+        x[rest] = own
+        code[rest] = left - part * table.before.take(own)
+        reach[rest] = part * table.share.take(own)
         short = np.flatnonzero(reach < _LOW)
         while len(short):
             where = get.take(short)
@@ -220,41 +279,40 @@ def decode_blocks(blocks: list[bytes], width: int, used: np.ndarray, shares: np.
             short = short[wider < _LOW]
         steps[t] = x
         known.learn(x, two, one, kind, t + 1)
+        classes.after(t + 1, number)
     return np.ascontiguousarray(steps.T).reshape(-1)
 
 
 def pack_file(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     """The file of some ids (below 2^16), cut into documents of the given sizes."""
-    used, shares, bits = order0(ids)
-    blocks = encode_blocks(ids, used, shares, bits)
-    table = np.diff(used, prepend=0).astype("<u2").tobytes() + shares.astype("<u4").tobytes()
-    lengths, table = zlib.compress(sizes.astype("<u4").tobytes(), 1), zlib.compress(table, 6)
+    order0 = Order0.of(ids)
+    blocks = encode_blocks(ids, order0)
+    table = zlib.compress(np.diff(order0.used, prepend=0).astype("<u2").tobytes() + order0.counts.astype("<u2").tobytes(), 6)
+    lengths = zlib.compress(sizes.astype("<u4").tobytes(), 1)
     directory = b"".join(struct.pack("<II", len(b), zlib.crc32(b)) for b in blocks)
-    return _HEAD.pack(MAGIC, len(ids), len(sizes), len(blocks), len(used), len(lengths), len(table) << 5 | bits) + lengths + table + directory + b"".join(blocks)
+    head = _HEAD.pack(MAGIC, len(ids), len(sizes), len(blocks), len(order0.used), len(lengths), len(table)) + lengths + table + directory
+    return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
 def unpack_file(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """ids and sizes of documents of a file."""
-    magic, n, documents, blocks, n_used, lengths, packed = _HEAD.unpack_from(data)
-    if magic != MAGIC:
+    if len(data) < _HEAD.size or data[:4] != MAGIC:
         raise ValueError("not a token file")
-    bits, at = packed & 31, _HEAD.size
-    sizes = np.frombuffer(zlib.decompress(data[at : at + lengths]), "<u4").astype(np.int64)
-    at += lengths
-    table = zlib.decompress(data[at : at + (packed >> 5)])
-    at += packed >> 5
-    used = np.cumsum(np.frombuffer(table, "<u2", n_used).astype(np.int64))
-    shares = np.frombuffer(table, "<u4", n_used, 2 * n_used).astype(np.int64)
-    directory = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(-1, 2)
-    at += 8 * blocks
-    found = []
+    _, n, documents, blocks, n_used, n_lengths, n_table = _HEAD.unpack_from(data)
+    at = _HEAD.size + n_lengths + n_table
+    end = at + 8 * blocks
+    if len(data) < end + 4 or zlib.crc32(data[:end]) != struct.unpack_from("<I", data, end)[0]:
+        raise ValueError("the head of a token file is damaged")
+    sizes = np.frombuffer(zlib.decompress(data[_HEAD.size : at - n_table]), "<u4").astype(np.int64)
+    table = np.frombuffer(zlib.decompress(data[at - n_table : at]), "<u2").astype(np.int64)
+    directory, place, found = np.frombuffer(data, "<u4", 2 * blocks, at).reshape(-1, 2), end + 4, []
     for number, (length, crc) in enumerate(directory.tolist()):
-        block = data[at : at + length]
+        block = data[place : place + length]
         if zlib.crc32(block) != crc:
             raise ValueError(f"block {number} of a token file is damaged")
         found.append(block)
-        at += length
-    ids = decode_blocks(found, min(BLOCK, n), used, shares, bits)[:n]
+        place += length
+    ids = decode_blocks(found, min(BLOCK, n), Order0(np.cumsum(table[:n_used]), table[n_used:]))[:n]
     if len(sizes) != documents or sizes.sum() != n:
         raise ValueError("a token file's lengths don't add up")
     return ids, sizes
