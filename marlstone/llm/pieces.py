@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are encoded at once: more than elsewhere, as each distinct piece is looked up once.
-TOKEN_CHUNK = 6 << 20
+TOKEN_CHUNK = 10 << 20
 
 #: White space as the tokenizers see it (the Unicode property) beyond ASCII.
 _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")

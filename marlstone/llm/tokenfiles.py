@@ -53,11 +53,11 @@ BLOCK = 2048
 #: Classes of order 0.
 CLASSES = 8
 #: Ids of a file, at most, unless one document has more. Bounds what a task holds.
-FILE = 12 << 20
+FILE = 6 << 20
 #: Files whose places are broadcast, at most.
 MOST_FILES = 100_000
 #: Slots of each prediction table of a block; states of a block's weights; shift of a hash.
-_SLOTS, _STATES, _SHIFT = 512, 32, 55
+_SLOTS, _STATES, _SHIFT = 256, 32, 56
 _HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64).view(np.int64)
 _FULL, _LOW = (1 << 48) - 1, 1 << 32
 #: Bits of the parts of 1 by which a class's ids, and (with 8 bits of weights) classes, are told.
