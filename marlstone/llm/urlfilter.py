@@ -2,16 +2,18 @@
 
 A rule names a host and a path. It fits its host, every subdomain of it, and urls whose path
 starts with its path. Hosts are compared by their canonical key, the labels in reverse, each
-followed by a dot (``www.example.net`` is ``net.example.www.``). With it the hosts below a rule
-are one interval of keys, and the intervals of any two rules are nested or apart. A sweep over
-urls and interval bounds in key order therefore needs a stack: a bound replaces the stack of
-active rules, and a url takes the stack of the last bound before it.
-
-The sweep runs inside salted groups. A url goes to one group, by its domain and its id, so one
-host or domain with a third of all rows is spread over all salts. A rule goes to the groups of
-its domain only (a rule on a whole top-level domain to all groups), so rules are copied ``salts``
-times, not once per task. Nothing is broadcast or collected, and no rule meets a url outside its
-interval.
+followed by a dot (``www.example.net`` is ``net.example.www.``). A url asks at each host that
+encloses its own and has rules, with its path; there the rules that fit are those whose path is a
+prefix, and a prefix is an interval of paths in byte order. The intervals of any two rules of a host
+are nested or apart. A sweep over urls and interval bounds in order of host key and path therefore
+needs a stack: a bound replaces the stack of active rules, and a url takes the innermost rule of the
+last bound before it. No url is tried against a rule, however many rules a host has.
+
+The sweep runs in groups of one host each. A host's urls are dealt to so many groups that each has
+``GROUP`` of them, or ten for each rule of the host if that is more; the host's rules are copied to
+each. So one host with a third of all urls is spread out, and copies of rules are at most a tenth of
+the urls, and the rules themselves. Nothing is broadcast by force, and nothing collected but the
+number of labels of the deepest rule.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; a path that is
 empty starts with no rule's ``/``; two rules that fit count by their length in characters (host
@@ -25,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.session import shuffle_partitions
+from marlstone.session import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,76 +51,56 @@ def _key(labels: Column) -> Column:
     return F.concat(F.array_join(labels, "."), F.lit("."))
 
 
-def _bounds(rules: DataFrame, buckets: int, salts: int) -> DataFrame:
-    """Start and end of each rule host's interval, with the stack that holds from there on."""
-    hosts = (
-        rules.where(F.col("host").isNotNull())
-        .select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-        .groupBy("host")
-        .agg(
-            F.collect_set(
-                F.struct(
-                    (F.length("host") + F.length("path")).alias("size"),
-                    F.length("host").alias("host_size"),
-                    (F.col("verdict") == "block").cast("int").alias("blocks"),
-                    F.concat("host", "path").alias("rule"),
-                    "path",
-                    "verdict",
-                )
-            ).alias("own")
-        )
-        .withColumn("labels", _labels(F.col("host")))
-        .withColumn("key", _key(F.col("labels")))
-    )
-    above = hosts.select(
-        "key", "labels", F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("depth")
-    ).select("key", "labels", "depth", _key(F.slice("labels", F.lit(1), F.col("depth"))).alias("above"))
-    stacks = (
-        above.join(hosts.select(F.col("key").alias("above"), "own"), "above")
-        .groupBy("key", "labels")
-        .agg(F.array_sort(F.collect_list(F.struct("depth", "own"))).alias("stack"))
-    )
-    flat = F.flatten(F.transform("stack", lambda x: x["own"]))
-    outer = F.flatten(F.transform(F.expr("slice(stack, 1, size(stack) - 1)"), lambda x: x["own"]))
-    starts = stacks.select("labels", "key", F.lit(1).alias("kind"), flat.alias("stack"))
-    # "/" follows "." in byte order, so this is the first key behind all that start with the rule's
-    ends = stacks.select("labels", F.expr("substring(key, 1, length(key) - 1) || '/'").alias("key"), F.lit(0).alias("kind"), outer.alias("stack"))
-    domain = F.when(F.size("labels") > 1, F.array(_bucket(F.col("labels"), buckets))).otherwise(F.sequence(F.lit(0), F.lit(buckets - 1)))
-    return (
-        starts.unionByName(ends)
-        .withColumn("bucket", F.explode(domain))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .select("bucket", "salt", "key", "kind", "stack")
-    )
+#: Urls of a group of the sweep, about.
+GROUP = 100_000
 
 
-def _bucket(labels: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(F.slice(labels, 1, 2)), F.lit(buckets)).cast("int")
+def _ranked(rules: DataFrame) -> DataFrame:
+    """``at, path, best``: the rules by host key; of several on one host and path the one that counts."""
+    known = rules.where(F.col("host").isNotNull()).select(F.translate("host", UPPER, LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
+    best = F.struct((F.length("host") + F.length("path")).alias("size"), F.length("host").alias("host_size"), (F.col("verdict") == "block").cast("int").alias("blocks"), F.concat("host", "path").alias("rule"), "verdict")
+    return known.groupBy(_key(_labels(F.col("host"))).alias("at"), "path").agg(F.max(best).alias("best"))
+
+
+def _bounds(ranked: DataFrame) -> DataFrame:
+    """``at, place, kind, stack``: start (1) and end (0) of each rule's interval of paths, with the
+    rules, outermost first, that are active from there on."""
+    # a rule can only lie within those of its host with a shorter path, of a length that some rule has
+    sizes = ranked.groupBy("at").agg(F.collect_set(F.length("path")).alias("sizes"))
+    above = ranked.join(sizes, "at").select("at", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
+    above = above.select("at", "path", F.expr("substring(path, 1, n)").alias("outer"))
+    stacks = above.join(ranked.withColumnRenamed("path", "outer"), ["at", "outer"]).groupBy("at", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.length("outer"), "best"))), lambda x: x["best"]).alias("stack"))
+    place = F.col("path").cast("binary")
+    starts = stacks.select("at", place.alias("place"), F.lit(1).alias("kind"), "stack")
+    # 0xFF is no byte of any path, so this lies behind all paths with the rule's in front
+    ends = stacks.select("at", F.concat(place, F.lit(bytearray(b"\xff"))).alias("place"), F.lit(0).alias("kind"), F.expr("slice(stack, 1, size(stack) - 1)").alias("stack"))
+    return starts.unionByName(ends)
 
 
 def judge_urls(
-    urls: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", buckets: int = 8, salts: int | None = None
+    urls: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_col: str = "url", default: str = "allow", group: int = GROUP
 ) -> DataFrame:
     """``id_col, host, path, rule, verdict`` of every row of ``urls``.
 
     rules: columns host, path and verdict (block or allow). default: the verdict where no rule
-    fits. buckets: hash groups of domains. salts: parts of each, by the row's id; by default four
-    for each shuffle partition, 256 at least.
+    fits. group: urls of a group of the sweep.
     """
-    salts = salts or max(256, 4 * shuffle_partitions(urls.sparkSession))
-    left = (
-        urls.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
-        .select("_id", url_host(F.col("_url")).alias("host"), url_path(F.col("_url")).alias("path"), F.pmod(F.xxhash64("_id", "_url"), F.lit(salts)).cast("int").alias("salt"))
-        .withColumn("labels", _labels(F.col("host")))
-        .select("_id", "host", "path", _bucket(F.col("labels"), buckets).alias("bucket"), "salt", _key(F.col("labels")).alias("key"), F.lit(2).alias("kind"))
-    )
-    sweep = Window.partitionBy("bucket", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    active = (
-        left.unionByName(_bounds(rules, buckets, salts), allowMissingColumns=True)
-        .withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
-        .where(F.col("kind") == 2)
-    )
-    best = F.array_max(F.filter("active", lambda r: F.col("path").startswith(r["path"])))
-    return active.withColumn("best", best).select(
+    ranked = _ranked(rules)
+    depth = ranked.agg(F.max(F.size(F.split("at", r"\.", -1)) - 1)).first()[0] or 0
+    # written once, so that row numbers hold
+    rows = stored(urls.select(F.col(id_col).alias("_id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"), F.monotonically_increasing_id().alias("row")))
+    labels = F.slice(_labels(F.col("host")), 1, max(1, depth))
+    around = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda k: _key(F.slice("labels", F.lit(1), k)))
+    asked = rows.select("row", "path", labels.alias("labels")).select("row", "path", F.explode(around).alias("at"))
+    hosts = ranked.groupBy("at").agg(F.count(F.lit(1)).alias("n_rules"))
+    asked = asked.join(hosts, "at")
+    room = F.greatest(F.lit(group), 10 * F.col("n_rules"))
+    salts = asked.groupBy("at", "n_rules").agg(F.ceil(F.count(F.lit(1)) / room).alias("salts")).select("at", "salts")
+    left = asked.join(salts, "at").select("at", F.pmod(F.xxhash64("row"), "salts").alias("salt"), F.col("path").cast("binary").alias("place"), F.lit(2).alias("kind"), "row")
+    right = _bounds(ranked).join(salts, "at").select("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "place", "kind", "stack")
+    sweep = Window.partitionBy("at", "salt").orderBy("place", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = left.unionByName(right, allowMissingColumns=True).withColumn("active", F.last("stack", ignorenulls=True).over(sweep)).where(F.col("kind") == 2)
+    found = swept.select("row", F.try_element_at("active", F.lit(-1)).alias("best")).groupBy("row").agg(F.max("best").alias("best"))
+    return rows.join(found, "row", "left").select(
         F.col("_id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

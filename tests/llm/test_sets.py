@@ -116,8 +116,8 @@ def test_url_rules_by_brute_force(spark):
     urls = [f"{rng.choice(['http', 'https', 'x'])}://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/en", "/en/x?y#z", "/de/1", "/fr/", "?q=/en/", "#/en/", "/x\n/y")] + [None, "", "net/", "http:/net/", "a://b://net/", "://net/"]
     rows = [(i, u, "clash", "clash", "clash") for i, u in enumerate(urls)] + [(None, urls[0], "", "", ""), (0, urls[0], "", "", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string, key string, rule string")
-    for salts in (None, 1):
-        found = urlfilter.judge_urls(pages, spark.sql(RULES), salts=salts, buckets=2).collect()
+    for group in (urlfilter.GROUP, 3):
+        found = urlfilter.judge_urls(pages, spark.sql(RULES), group=group).collect()
         assert len(found) == len(rows)
         for r in found:
             assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(urls[r.page_id or 0]), urls[r.page_id or 0]
@@ -126,6 +126,27 @@ def test_url_rules_by_brute_force(spark):
     assert urlfilter.judge_urls(pages.where("page_id < 0"), spark.sql(RULES)).count() == 0
 
 
+def test_nested_paths_of_a_hot_host(spark):
+    """Many nested rules of one host: the longest prefix wins, in groups of any size; very long urls too."""
+    rng = random.Random(2)
+    paths = ["", "/", *("/" + "a" * n + t for n in range(1, 12) for t in ("", "/", "b")), "/é", "/a" + chr(0xFFFF), "/" + "x" * 50_000]
+    rules = [(rng.choice(["allow", "block"]), rng.choice(["hot.net", "net", "x.hot.net"]), p) for p in paths for _ in range(2)]
+    urls = [f"http://{h}{p}{t}" for h in ("hot.net", "x.hot.net", "y.hot.net", "net") for p in paths for t in ("", "a", "/z", chr(0xFFFF))] + ["http://" + "a." * 20_000 + "hot.net/aa/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    known = spark.createDataFrame(rules, "verdict string, host string, path string")
+
+    def best(url):
+        host, _, path = url.removeprefix("http://").partition("/")
+        path = "/" + path if url.count("/") > 2 else ""
+        host, path = (url.removeprefix("http://"), "") if not path else (host, path)
+        fits = [(len(h + p), len(h), v == "block", h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[3:] if fits else (None, "allow")
+
+    for group in (urlfilter.GROUP, 5):
+        found = urlfilter.judge_urls(pages, known, group=group).collect()
+        assert len(found) == len(urls) and all((r.rule, r.verdict) == best(urls[r.page_id]) for r in found)
+
+
 def test_image_copies_are_found(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(60, 64))
