@@ -1,15 +1,18 @@
 """Secret scans: a trigram inverted index finds candidates, the rule's regex verifies them.
 
-From each rule's regex a Boolean query over trigrams is derived: a text that lacks them cannot
-match. The postings of the trigrams that some query names (trigram, document) are made in one
-scan and met per document; a rule's regex then runs on its candidates only. A rule whose regex
-has no mandatory trigram scans every text. Postings of trigrams that no rule names could never
-be asked for, so they are not stored.
+From each rule's regex a Boolean query over trigrams is derived: alternatives, each a set of
+trigrams of which a text lacks none if it matches. The rarest trigram of each alternative (by how
+common its letters are) is its seed. Only texts that hold a seed have postings (trigram,
+document): their lists are intersected per document, and a rule's regex then runs on its candidates
+only. All other texts can match no such rule; they are read past, in a branch without a shuffle. A
+rule whose regex has no mandatory trigram scans every text. Postings of trigrams that no rule names
+could never be asked for, so they are not stored.
 
 All of it is built-in expressions: the deriving of queries happens once, while planning.
 
 Positions are code points, end exclusive. They come from ``split`` and ``regexp_extract_all`` by
-the same regex, whose pieces alternate; their lengths add up to the places.
+the same regex, whose pieces alternate; their lengths add up to the places. Sums run over parts of
+``PART`` elements, so a text with very many matches costs in proportion to them.
 
 Defined results: a null text is the empty text, which has no span; matches of one rule do not
 overlap, the leftmost first, those of different rules may; repeated rows are scanned one by one,
@@ -18,6 +21,7 @@ rows with a null id too; rules of the same name are not allowed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -124,16 +128,24 @@ def _of_item(op: str, arg) -> tuple[set[str] | None, Query]:
     return None, ALWAYS  # anchors and all else require nothing
 
 
+#: Letters, the most common ones of English first; all else is rarer.
+_COMMON = "etaoinshrdlcumwfgypbvkjxqz"
+
+
+def seeds(query: Query) -> set[str]:
+    """The rarest trigram of each alternative."""
+    rarity = lambda t: sum(_COMMON.find(c) if c in _COMMON else len(_COMMON) for c in t)
+    return {max(sorted(s), key=rarity) for s in query}
+
+
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """``id, trigram``: a row for each of the trigrams (by number) that a document's ``text`` holds."""
-    low = docs.select("id", F.lower("text").alias("low"))
+    """``key, trigram``: a row for each of the trigrams (by number) that a document's ``low`` holds."""
     present = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])
-    return low.select("id", F.explode(F.array_compact(present)).alias("trigram"))
+    return docs.select("key", F.explode(F.array_compact(present)).alias("trigram"))
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """``id`` and, for each rule with mandatory trigrams, whether its query holds (``can_<name>``)."""
-    asked = {r.name: trigram_query(r.pattern) for r in rules}
+def candidates(docs: DataFrame, asked: dict[str, Query]) -> DataFrame:
+    """``key`` and, for each query, whether it holds (``can_<name>``)."""
     trigrams = sorted({t for q in asked.values() for s in q for t in s})
     number = {t: i for i, t in enumerate(trigrams)}
     words = range(0, len(trigrams), 60)  # met as bits, 60 to a long
@@ -153,25 +165,53 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             out |= holds(s)
         return out
 
-    met = postings(docs, trigrams).groupBy("id").agg(*bits)
-    return met.select("id", *[any_of(q).alias(f"can_{name}") for name, q in asked.items() if q != ALWAYS])
+    met = postings(docs, trigrams).groupBy("key").agg(*bits)
+    return met.select("key", *[any_of(q).alias(f"can_{name}") for name, q in asked.items()])
+
+
+#: Elements of a part of ``running``.
+PART = 256
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(numbers: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of longs, all before it joined by an associative ``join``, 0 before the
+    first. An array grows by copying it, so it is made of parts of ``PART`` elements."""
+    empty = F.expr("cast(array() as array<bigint>)")
+    zero = F.lit(0).cast("long")
+
+    def prefixes(some: Column, start: Column) -> Column:
+        step = lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+        return F.aggregate(some, F.struct(start.alias("at"), empty.alias("all")), step, lambda s: s["all"])
+
+    def of(some: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(some) - 1) / PART).cast("int")), lambda k: F.slice(some, k * PART + 1, F.lit(PART)))
+        return bound(parts, lambda p: F.flatten(F.zip_with(p, prefixes(F.transform(p, lambda c: F.aggregate(c, zero, join)), zero), prefixes)))
+
+    return F.when(F.size(numbers) > 0, bound(numbers, of)).otherwise(empty)
+
+
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+_NO_SPANS = f"cast(array() as {SPANS})"
 
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """The rule's spans in ``text``: an array of (start, kind, end), kind being ``number``."""
     pattern = F.lit(rule.pattern)
     found, sized = F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    pieces = F.zip_with(F.zip_with(F.split(text, rule.pattern, -1), found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("size"))), sized, lambda x, g: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), F.length(g).alias("held")))
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    # what stands before each match, its length and that of its group; behind the last match there is none
+    pieces = F.zip_with(F.zip_with(F.split(text, rule.pattern, -1), found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("size"))), sized, lambda x, g: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), F.length(g).alias("held")))
 
-    def step(s: Column, x: Column) -> Column:
-        first = s["at"] + x["gap"]
-        last = first + F.coalesce(x["size"], F.lit(0))
-        here = F.array(F.struct(first.alias("start"), F.lit(number).alias("kind"), last.alias("end")))
-        return F.struct(last.alias("at"), F.when(x["held"] >= rule.least, F.concat(s["spans"], here)).otherwise(s["spans"]).alias("spans"))
+    def spans(own: Column) -> Column:
+        before = running(F.transform(own, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))), lambda a, b: a + b)
+        placed = F.zip_with(own, before, lambda x, at: F.struct((at + x["gap"]).cast("int").alias("start"), F.lit(number).alias("kind"), (at + x["gap"] + x["size"]).cast("int").alias("end"), x["held"].alias("held")))
+        return F.transform(F.filter(placed, lambda x: x["held"] >= rule.least), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    return F.when(text.rlike(rule.pattern), F.aggregate(pieces, start, step, lambda s: s["spans"])).otherwise(none)
+    return F.when(text.rlike(rule.pattern), bound(pieces, spans)).otherwise(F.expr(_NO_SPANS))
 
 
 def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = (), mask: str | None = None) -> DataFrame:
@@ -181,15 +221,29 @@ def scan_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     mask: also gives ``masked``, the text (null stays null) with that in place of each span."""
     if len({r.name for r in rules}) < len(rules):
         raise ValueError("rules need names of their own")
-    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(text_col).isNull().alias("no_text"), *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)])
-    met = candidates(own.select("id", "text"), rules)
-    # by hash, so that the texts need no sort; rows of a null id find their postings too
-    joined = own.join(met.withColumnRenamed("id", "met_id").hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("met_id")), "left")
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    spans = [F.when(F.col(f"can_{r.name}"), rule_spans(F.col("text"), r, i)).otherwise(none) if f"can_{r.name}" in met.columns else rule_spans(F.col("text"), r, i) for i, r in enumerate(rules)]
-    found = joined.select("id", "text", "no_text", *[f"_keep_{i}" for i in range(len(keep))], F.array_sort(F.concat(*spans)).alias("spans"))
+    kept = [f"_keep_{i}" for i in range(len(keep))]
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.col(text_col).isNull().alias("no_text"), *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)])
+    asked = {r.name: q for r in rules if (q := trigram_query(r.pattern)) != ALWAYS}
+    wanted = sorted(set().union(*map(seeds, asked.values()))) if asked else []
+    low = F.lower("text")
+    seeded = F.lit(False)
+    for seed in wanted:
+        seeded |= F.contains(low, F.lit(seed))
+
+    def scanned(rows: DataFrame) -> DataFrame:
+        spans = [F.when(F.col(f"can_{r.name}"), rule_spans(F.col("text"), r, i)).otherwise(F.expr(_NO_SPANS)) if f"can_{r.name}" in rows.columns else rule_spans(F.col("text"), r, i) for i, r in enumerate(rules) if r.name not in asked or f"can_{r.name}" in rows.columns]
+        return rows.select("id", "text", "no_text", *kept, F.array_sort(F.concat(F.expr(_NO_SPANS), *spans)).alias("spans"))
+
+    quiet = own.where(~seeded)
+    found = scanned(quiet)
+    if wanted:
+        # texts of one key are looked at in any case, so that equal keys of different rows do no harm
+        loud = own.where(seeded).withColumn("key", F.xxhash64("id", "text"))
+        met = candidates(loud.select("key", low.alias("low")), asked)
+        # by hash, so that the texts need no sort
+        found = found.unionByName(scanned(loud.join(met.hint("shuffle_hash"), "key")))
     hidden = [F.when(~F.col("no_text"), masked(F.col("text"), F.col("spans"), mask)).alias("masked")] if mask is not None else []
-    return found.select(F.col("id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "spans", *hidden)
+    return found.select(F.col("id").alias(id_col), *[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "spans", *hidden)
 
 
 def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -200,16 +254,14 @@ def written(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:
     """``text`` with every span, overlapping ones as one, replaced by ``mask``."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        gap = F.substring(text, s["at"] + 1, x["start"] - s["at"])
-        # a span that begins inside the last one only moves its end
-        return F.struct(
-            F.when(fresh, F.concat(s["out"], gap, F.lit(mask))).otherwise(s["out"]).alias("out"),
-            F.greatest(s["at"], x["end"]).alias("at"),
-        )
-
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.lit(2**31 - 1) - s["at"] - 1)))
-    return F.when(F.size(spans) == 0, text).otherwise(whole)
+
+    def gaps(codes: Column) -> Column:
+        """The texts between spans. ``codes`` has four bytes a code point, so each is cut out directly."""
+        cut = lambda start, end: F.decode(F.substring(codes, (start * 4 + 1).cast("int"), ((end - start) * 4).cast("int")), "UTF-32")
+        latest = running(F.transform(spans, lambda s: s["end"].cast("long")), lambda a, b: F.greatest(a, b))
+        # a span that begins inside an earlier one has no text before it
+        before = F.zip_with(spans, latest, lambda s, at: F.when(s["start"] >= at, cut(at, s["start"])))
+        last = F.array_max(F.transform(spans, lambda s: s["end"].cast("long")))
+        return F.concat(F.array_compact(before), F.array(cut(last, F.length(codes) / 4)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(bound(F.encode(text, "UTF-32"), gaps), mask))
