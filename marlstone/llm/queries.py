@@ -126,6 +126,7 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.transform(base, lambda p: p["label"])).alias("base_labels"),
         joined(own).alias("labels"),
         "score",
+        F.when(F.size("tags") > 0, F.forall("tags", lambda t: t["accepted"])).alias("accepted"),
     )
 
 
