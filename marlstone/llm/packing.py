@@ -7,10 +7,11 @@ two unpacked ones that together fill the gap, with its room added, more tightly;
 while it helps. Pieces of equal length are interchangeable, so a bin is found from counts by
 length, with a table of the longest available length up to each number.
 
-Packing needs lengths only. Pieces are dealt by a hash into groups of about ``group`` documents;
+Packing needs lengths only. Pieces are dealt by a hash into groups of about ``group`` pieces;
 groups are packed apart, at the cost of about one bin each that isn't full. The number of groups
-follows from the number of documents, so a group, and what a task holds, stays as small on any
-input, and no key can crowd one group: the hash also takes the row's place in its task.
+follows from the documents and their bytes (``expected_pieces``), so a group, and what a task
+holds, stays as small on any input, also where documents are very long; and no key can crowd one
+group: the hash also takes the row's place in its task.
 
 Defined results: null is the empty text, one piece with the end id; repeated rows are packed one
 by one; an empty table gives no pieces.
@@ -30,8 +31,9 @@ from pyspark.sql import types as T
 from marlstone.llm.common import chunks
 from marlstone.llm.pieces import TOKEN_CHUNK, ended, library_encoder
 
-#: Documents of a group, about.
-GROUP = 8192
+#: Pieces of a group, about, and bytes of a token as they are guessed from. Where tokens are
+#: shorter, down to a byte, groups get four times as many at most.
+GROUP, TOKEN_BYTES = 8192, 4
 
 
 def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -61,6 +63,12 @@ def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int =
     return out.select(F.col("_id").alias(id_col), *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], "piece", "start", "length", "ids", "row")
 
 
+def expected_pieces(docs: DataFrame, *, size: int = 2048, text_col: str = "text") -> int:
+    """About how many pieces the documents will be cut into."""
+    n, held = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    return n + held // (TOKEN_BYTES * size)
+
+
 def best_two_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     """Bins, as lists of numbers of pieces; every bin's lengths add up to ``size`` at most."""
     if len(lengths) and not 0 < lengths.min() <= lengths.max() <= size:
@@ -120,13 +128,13 @@ def best_two_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return [[by_length[n].pop() for n in held] for held in bins]
 
 
-def pack(pieces: DataFrame, *, documents: int, size: int = 2048, group: int = GROUP, row_col: str = "row", length_col: str = "length") -> DataFrame:
+def pack(pieces: DataFrame, *, expected: int, size: int = 2048, group: int = GROUP, row_col: str = "row", length_col: str = "length") -> DataFrame:
     """``pieces`` without ``row_col`` and with sequence_id and offset.
 
-    documents: their number, which sets the number of groups. row_col: any number that tells the
-    rows apart, as evenly as the groups shall be.
+    expected: about how many pieces there are, which sets the number of groups. row_col: any number
+    that tells the rows apart, as evenly as the groups shall be.
     """
-    groups = max(1, -(-documents // group))
+    groups = max(1, -(-expected // group))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(row_col), F.lit(groups)))
     names = [c for c in pieces.columns if c != row_col]
     schema = T.StructType([*(pieces.schema[c] for c in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])

@@ -104,7 +104,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.pack(pieces, documents=docs.count())
+    return packing.pack(pieces, expected=packing.expected_pieces(docs))
 
 
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
