@@ -15,9 +15,15 @@ nodes * bytes in use * languages * 4 bytes; every value of the language column i
 a batch are scored together: the context of each byte is found by walking the tree backwards,
 a table look-up for each of the ``order`` steps.
 
-Fitting takes about ``per_language`` documents of each language, picked by the hash of their ids
-among those of at most ``longest`` bytes; of a language that has only longer ones, from a slice of
-each, of at most as many bytes, that begins where the hash says. Every text is scored whole.
+Fitting takes about ``per_language`` documents of each language, fewer if these would have more than
+an equal share of ``most_bytes``, picked by a hash of their ids and texts among those of at most
+``longest`` bytes; of a language that has only longer ones, from a slice of each, of at most as
+many bytes, that begins where the hash says. Equal texts of a language count once, so repeated rows
+don't add up. Every text is scored whole.
+
+score: the language's share of the languages' 2^-bits, where bits are those of ``SPAN`` bytes at the
+text's mean cost (of the whole text if it is shorter): how clearly the language stands out,
+whatever the text's length.
 
 Defined results: null, and texts without a letter, are ``und`` with the score 0; so is every
 text if no language was learned. Repeated rows are scored one by one. A text is coded from the
@@ -43,6 +49,10 @@ ORDER = 4
 NODES = 6000
 #: Documents of each language from which it is learned, about; and the largest of these in bytes.
 PER_LANGUAGE, LONGEST = 400, 50_000
+#: Bytes of all texts that are learned from, about; they go to the driver.
+MOST_BYTES = 64 << 20
+#: Bytes of a text for which the score is given.
+SPAN = 16
 _UNIT = 1024
 _LETTER = regex.compile(r"\p{L}")
 
@@ -160,32 +170,37 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, longest: int = LONGEST, order: int = ORDER, nodes: int = NODES) -> Model:
+def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, longest: int = LONGEST, most_bytes: int = MOST_BYTES, order: int = ORDER, nodes: int = NODES) -> Model:
     """The model of the labelled rows that are not held out."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    fits = F.octet_length("text") <= longest
-    sizes = own.groupBy("lang").agg(F.count_if(fits).alias("short"), F.count(F.lit(1)).alias("all")).orderBy("lang").collect()
+    size = F.octet_length("text")
+    fits = size <= longest
+    sizes = own.groupBy("lang").agg(F.count_if(fits).alias("short"), F.count(F.lit(1)).alias("all"), F.coalesce(F.sum(F.when(fits, size)), F.lit(0)).alias("bytes")).orderBy("lang").collect()
     if not sizes:
         return fit({}, order=order, nodes=nodes)
+
+    def share(row) -> int:
+        """Of 2^30 hashes those that are picked."""
+        n, held = (row["short"], row["bytes"]) if row["short"] else (row["all"], row["all"] * longest)
+        return int((1 << 30) * min(1.0, per_language / n, most_bytes / len(sizes) / max(1, held)))
+
     # a map in the plan, so that texts are not dealt by language
     of = lambda value: F.try_element_at(F.create_map(*[F.lit(x) for row in sizes for x in (row["lang"], value(row))]), F.col("lang"))
-    picked = own.withColumn("sliced", of(lambda row: row["short"] == 0)).withColumn("share", of(lambda row: min(1 << 30, (per_language << 30) // (row["short"] or row["all"]))))
-    picked = picked.where((F.col("sliced") | fits) & (F.xxhash64("id", F.lit("learn")).bitwiseAND(F.lit((1 << 30) - 1)) < F.col("share")))
+    picked = own.withColumn("sliced", of(lambda row: row["short"] == 0)).withColumn("share", of(share))
+    picked = picked.where((F.col("sliced") | fits) & (F.xxhash64("id", "text", F.lit("learn")).bitwiseAND(F.lit((1 << 30) - 1)) < F.col("share")))
     # a character has up to four bytes
     room = max(1, longest // 4)
     begin = F.pmod(F.xxhash64("id", F.lit("slice")), F.greatest(F.lit(1), F.length("text") - room + 1)).cast("int") + 1
     picked = picked.withColumn("text", F.when(F.col("sliced"), F.substring("text", begin, F.lit(room))).otherwise(F.col("text")))
-    # about per_language of each language, and never more than twice that
-    rows = picked.select("lang", "text").limit(2 * per_language * max(1, len(sizes))).collect()
+    # equal texts go to the driver once, however many rows have them
     texts: dict[str, set[str]] = {row["lang"]: set() for row in sizes}
-    for row in rows:
+    for row in picked.select("lang", "text").distinct().collect():
         texts[row["lang"]].add(row["text"])
     return fit({lang: sorted(found) for lang, found in texts.items() if found}, order=order, nodes=nodes)
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns ``keep``, lang_pred, score (the language's share of 2^-bits) and
-    bits_per_byte of every row."""
+    """``id_col``, the columns ``keep``, lang_pred, score and bits_per_byte of every row."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())]
 
@@ -198,7 +213,8 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
         bits = code_lengths(model, data) / _UNIT
         best = bits.argmin(1)
         least = bits[np.arange(len(texts)), best]
-        share = 1 / np.exp2(least[:, None] - bits).sum(1)
-        return {"lang_pred": [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], "score": np.where(known, share, 0.0), "bits_per_byte": least / np.maximum(1, [len(b) for b in data])}
+        size = np.maximum(1, [len(b) for b in data])
+        share = 1 / np.exp2((least[:, None] - bits) * np.minimum(1, SPAN / size)[:, None]).sum(1)
+        return {"lang_pred": [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)], "score": np.where(known, share, 0.0), "bits_per_byte": least / size}
 
     return map_texts(docs, run, fields, id_col=id_col, text_col=text_col, keep=keep)

@@ -194,7 +194,7 @@ def test_pipeline(spark, tables):
     sure = {}
     for i, t in kept.items():
         bits = np.array([brute_cost(own, t, ppm.ORDER) for own in learned.values()]) if len(t) < 3000 else np.zeros(3)
-        sure[i] = bool(re.search(r"[^\W\d_]", t)) and (len(t) >= 3000 or 1 / np.exp2(bits.min() - bits).sum() >= 0.5)
+        sure[i] = bool(re.search(r"[^\W\d_]", t)) and (len(t) >= 3000 or 1 / np.exp2((bits.min() - bits) * min(1, ppm.SPAN / len(t.encode()))).sum() >= 0.5)
     kept = {i: t for i, t in kept.items() if sure[i]}
     ids = sorted(kept)
     classes = brute_classes([kept[i] for i in ids])
