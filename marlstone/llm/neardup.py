@@ -20,15 +20,17 @@ Candidates. Equal texts are one node from the start. Nodes meet in the buckets o
    node is the original or next to it.
 2. Links found so far are joined to classes. Two nodes of one class need no comparison of their
    own. Buckets that still hold several classes are the rest: all pairs across classes are
-   compared, so no link that the bands can find is lost. In a bucket above ``SMALL`` nodes only
-   those outside its leader's class meet the others, in blocks: a pair counts in the first of its
-   bands only, is counted out below an estimate of ``GUESS``, and is left out if the block has
+   compared. In a bucket above ``SMALL`` nodes only those outside its leader's class meet the
+   others, in blocks: a pair counts in the first of its bands only and is left out if the block has
    already joined the two. A block gives links, never pairs.
-All links are overlaps counted exactly from the texts.
+All links are overlaps counted exactly from the texts. A pair whose estimated similarity is below
+``GUESS`` is not counted out, in buckets of any size: that is eight standard errors below ``LEAST``,
+which a link of ``LEAST`` meets once in 10^12 (the bands miss one three times in 10^6).
 
 Nothing is collected, and no step holds a bucket or a class in one task: buckets are aggregated
 by hash with partial sums, joins on buckets and leaders are split by Spark where they are skewed,
-and classes come from large-star and small-star rounds.
+classes come from large-star and small-star rounds, and rows of texts and classes that have more than
+a thousandth of all rows (of which there are fewer than a thousand) meet these by broadcast.
 
 Defined results: null texts and texts without words are classes of their own; repeated rows are
 copies; null ids are allowed (a class whose ids are all null has a null class id); an empty table
@@ -60,8 +62,8 @@ BANDS, ROWS = 32, 5
 SIZE = BANDS * ROWS
 #: Nodes of a bucket whose pairs are simply joined, at most; nodes of a block in larger ones.
 SMALL, BLOCK = 8, 1024
-#: Estimated similarity from which a pair is counted out: four standard errors below LEAST.
-GUESS = 0.67
+#: Estimated similarity from which a pair is counted out: eight standard errors below LEAST.
+GUESS = 0.55
 
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -170,9 +172,24 @@ def overlap(a: str, b: str) -> float:
     return similarity(_bag(a), _bag(b))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose overlap is ``least`` or more."""
-    both = pairs.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
+def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose overlap is ``least`` or more. nodes: node, sig, text.
+
+    The signatures are met first, so that texts move for pairs that may be links only."""
+
+    def alike(a: pa.Array, b: pa.Array) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(side.to_pylist()), "<u2").reshape(len(side), SIZE) for side in (a, b))
+        return (x == y).sum(axis=1)
+
+    def guessed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(alike(batch["sig_a"], batch["sig_b"]) >= GUESS * SIZE))
+
+    sigs, texts = nodes.select("node", "sig"), nodes.select("node", "text")
+    met = pairs.join(sigs.withColumnsRenamed({"node": "b", "sig": "sig_b"}), "b").join(sigs.withColumnsRenamed({"node": "a", "sig": "sig_a"}), "a")
+    likely = met.select("a", "b", "sig_a", "sig_b").mapInArrow(guessed, "a binary, b binary")
+    both = likely.join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b").join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,6 +268,18 @@ def _across_blocks(rest: DataFrame, least: float) -> DataFrame:
     return rows.groupBy("key", "x", "y").applyInArrow(run, "a binary, b binary")
 
 
+def met_evenly(rows: DataFrame, facts: DataFrame, key: str, parts: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``facts``, a row for each ``key``, none of which crowds a task.
+
+    Keys that have more than 1 / ``parts`` of all rows, fewer than ``parts`` therefore, are joined
+    by broadcast, the others by hash."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_all"))
+    large = stored(counts.crossJoin(F.broadcast(total)).where(F.col("_n") * parts > F.col("_all")).select(key))  # one row
+    apart = rows.join(F.broadcast(large.join(facts, key, "left")), key)
+    return apart.unionByName(rows.join(F.broadcast(large), key, "left_anti").join(facts, key, "left"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns ``keep``, class_id (the class's smallest id), class_size, and
     representative (true for one row of each class) of every row."""
@@ -261,9 +290,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = stored(map_texts(numbered, sketch_texts, fields, id_col="id", text_col="text", keep=("row", "text", *(h for h in held.values() if h != "text"))))
     roots = components(_links(rows, least))
     classed = rows.select("row", "id", F.coalesce("node", F.encode(F.concat(F.lit("row "), F.col("row").cast("string")), "utf-8")).alias("node"))
-    classed = classed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classed = met_evenly(classed, roots, "node").select("row", "id", F.coalesce("root", "node").alias("root"))
     classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("one"))
-    found = classed.join(classes, "root").select("row", "id", "class_id", "class_size", (F.col("row") == F.col("one.row")).alias("representative"))
+    found = met_evenly(classed, classes, "root").select("row", "id", "class_id", "class_size", (F.col("row") == F.col("one.row")).alias("representative"))
     if keep:
         found = found.drop("id").join(rows.select("row", "id", *held.values()), "row")
     return found.select(F.col("id").alias(id_col), *[F.col(h).alias(c) for c, h in held.items()], "class_id", "class_size", "representative")
@@ -278,9 +307,9 @@ def _links(rows: DataFrame, least: float) -> DataFrame:
     leaders = crowd.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
     first = rows.where("node is not null").groupBy("node").agg(F.min("row").alias("row")).join(company.select("node"), "node", "left_semi")
     held = stored(rows.select("row", "text", "keys", "sig").join(first, "row"))
-    texts = held.select("node", "text")
+    nodes = held.select("node", "sig", "text")
     pairs = crowd.join(leaders, "key").where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verified(pairs, texts, least))
+    links = stored(_verified(pairs, nodes, least))
 
     known = crowd.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed_keys = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
@@ -291,4 +320,4 @@ def _links(rows: DataFrame, least: float) -> DataFrame:
     many = rest.where(F.col("size") > SMALL)
     leading = known.select("key", F.col("node").alias("leader"), F.col("root").alias("leading_root"))
     many = many.join(leading, ["key", "leader"]).select("key", "node", "root", "size", (F.col("root") == F.col("leading_root")).alias("leading")).join(held.select("node", "sig", F.col("keys").alias("all_keys"), "text"), "node")
-    return links.union(_verified(small, texts, least)).union(_across_blocks(many, least))
+    return links.union(_verified(small, nodes, least)).union(_across_blocks(many, least))
