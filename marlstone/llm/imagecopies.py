@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from marlstone.llm.neardup import components
+from marlstone.llm.neardup import components, met_evenly
 from marlstone.session import stored
 
 CORNERS, SCALES = 24, (1.0, 0.8)
@@ -289,7 +289,7 @@ def image_copies(media: DataFrame, *, id_col: str, media_col: str, inliers: int
     ends = links.select(F.col("a").alias("row")).union(links.select(F.col("b").alias("row"))).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
     classed = rows.drop("corners").join(components(links).withColumnRenamed("node", "row"), "row", "left").join(ends, "row", "left").withColumn("root", F.coalesce("root", "row"))
     classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(classes, "root").select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return met_evenly(classed, classes, "root").select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def drawn(vectors: np.ndarray, side: int = 80) -> np.ndarray:
