@@ -147,6 +147,14 @@ def test_nested_paths_of_a_hot_host(spark):
         assert len(found) == len(urls) and all((r.rule, r.verdict) == best(urls[r.page_id]) for r in found)
 
 
+def test_met_evenly_parts_large_keys(spark):
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(["hot"] * 30 + ["b", "c", "d"] + [None])], "k string, i int")
+    facts = spark.createDataFrame([("hot", 1), ("b", 2), ("e", 3)], "k string, v int")
+    for parts in (2, 1000):
+        found = sorted((r.i, r.k, r.v) for r in neardup.met_evenly(rows, facts, "k", parts).collect())
+        assert [v for _, _, v in found] == [1] * 30 + [2, None, None, None] and len(found) == 34
+
+
 def test_image_copies_are_found(spark):
     rng = np.random.default_rng(2)
     vectors = rng.normal(size=(60, 64))

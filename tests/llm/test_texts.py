@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -252,6 +253,32 @@ LICENCES = [
 ]
 
 
+
+def test_many_secrets_in_a_long_text(spark):
+    """Positions and masks of a text of 2 MB with 60,000 matches cost in proportion to it."""
+    text = "".join(f"é{i:032x} 😀" for i in range(60_000)) + " token=abcdefgh token=abc"
+    start = time.monotonic()
+    row = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), mask="[x]").first()
+    assert len(row.spans) == 60_001 and [tuple(s) for s in row.spans] == brute_spans(text, secrets.RULES)
+    assert row.masked == "é[x] 😀" * 60_000 + " [x] token=abc" and time.monotonic() - start < 60
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 1000])
+def test_running_joins_all_before(spark, n):
+    numbers = [(7 * i) % 13 for i in range(n)]
+    df = spark.createDataFrame([(numbers,)], "x array<long>")
+    row = df.select(secrets.running(F.col("x"), lambda a, b: a + b).alias("s"), secrets.running(F.col("x"), lambda a, b: F.greatest(a, b)).alias("m")).first()
+    assert row.s == [sum(numbers[:i]) for i in range(n)] and row.m == [max(numbers[:i], default=0) for i in range(n)]
+
+
+def test_postings_only_of_texts_with_a_seed(spark):
+    query = secrets.trigram_query(secrets.BASE[0].pattern)
+    assert all(seed in s for s, seed in ((s, next(iter(secrets.seeds(frozenset([s]))))) for s in query))
+    texts = spark.createDataFrame([("k1", "akia xkia"), ("k2", "aki a kia"), ("k3", "ak ia")], "key string, low string")
+    asked = {"access": secrets.trigram_query("AKIA[A-Z0-9]{12,}")}
+    assert {r.key: r.can_access for r in secrets.candidates(texts, asked).collect()} == {"k1": True, "k2": True}
+
+
 def test_licences_by_brute_force(spark):
     texts = LICENCES + made(5, 10) + ["mit license " * 4000]
     phrases = licences.BASE_PHRASES + licences.NOTICE_PHRASES
@@ -273,9 +300,11 @@ def test_licences_by_brute_force(spark):
     ("line", "names", "accepted"),
     [
         ("MIT", {"mit"}, True),
-        ("gpl-2.0 or mit", {"gpl-2.0", "mit"}, True),
+        ("gpl-2.0 or mit", {"mit"}, True),
+        ("gpl-2.0 and mit", {"gpl-2.0", "mit"}, False),
+        ("isc or mit", {"isc", "mit"}, True),
         ("gpl-2.0 and mit or gpl-3.0", {"gpl-2.0", "mit", "gpl-3.0"}, False),
-        ("(gpl-2.0 or mit) and (isc)", {"gpl-2.0", "mit", "isc"}, True),
+        ("(gpl-2.0 or mit) and (isc)", {"mit", "isc"}, True),
         ("gpl-2.0 with classpath-exception-2.0 and mit", {"gpl-2.0", "mit"}, True),
         ("mit and", {"mit"}, True),
         ("mit (isc", {"mit"}, True),
@@ -285,6 +314,21 @@ def test_expressions(line, names, accepted):
     assert licences.evaluate(licences.parse_expression(line)[0]) == (names, accepted)
 
 
+def test_long_expressions_take_linear_time():
+    """Whole prefixes are not parsed again, and sets of names are not copied at each step."""
+    start = time.monotonic()
+    assert licences.parse_expression("mit or (" + " and ".join(f"a{i}" for i in range(100_000)))[1] == "mit"
+    names, accepted = licences.evaluate(licences.parse_expression(" or ".join(f"a{i}" for i in range(100_000)))[0])
+    assert len(names) == 100_000 and not accepted and time.monotonic() - start < 20
+
+
+def test_long_texts_of_licences():
+    line = "// SPDX-License-Identifier: MIT AND gpl-2.0\n"
+    n, places, tags, score = licences.scan(line * 60_000 + "cc by " * 10, licences.BASE_PHRASES)
+    assert (n, len(places), len(tags)) == (60_000 * 8 + 20, 10, 60_000) and not any(t["accepted"] for t in tags) and 0 < score <= 1
+    assert places[-1]["word"] == n - 2
+
+
 @pytest.mark.parametrize("line", ["", "and mit", ") mit", "()"])
 def test_no_expression(line):
     assert licences.parse_expression(line) is None
@@ -331,6 +375,27 @@ def test_damaged_block_is_named():
         tokenfiles.unpack_file(bytes(data))
 
 
+@pytest.mark.parametrize("at", [0, 5, 20, 40, 100])
+def test_damaged_head_raises(at):
+    content = tokenfiles.pack_file(np.arange(9000).astype("<u2"), np.full(9000, 1))
+    data = bytearray(content)
+    data[at] ^= 4
+    with pytest.raises(ValueError, match="not a token file|head"):
+        tokenfiles.unpack_file(bytes(data))
+    with pytest.raises(ValueError, match="not a token file|head"):
+        tokenfiles.unpack_file(content[:at])
+
+
+def test_order_0_follows_the_block():
+    """Ids of one class cost less in a block that holds only these than in a mixed one."""
+    rng = np.random.default_rng(3)
+    rare = rng.integers(1000, 3000, 2048)
+    ids = np.concatenate([rng.integers(0, 1000, 20 * 2048), rare]).astype("<u2")
+    blocks = tokenfiles.encode_blocks(ids, tokenfiles.Order0.of(ids))
+    even = np.log2(20 * 1000 + 2000) / 8 * 2048  # a block's bytes if only the file's counts told
+    assert len(blocks[-1]) < 0.95 * (even + np.log2(20) / 8 * 2048)
+
+
 def test_token_files_give_places_in_order(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = made(9, 20)
@@ -377,7 +442,7 @@ def test_packing_is_whole(spark):
     texts = made(11, 60)
     docs = frame(spark, texts)
     pieces = packing.cut_documents(docs, path, size=256, keep=("score",))
-    rows = packing.pack(pieces, documents=docs.count(), size=256, group=30).collect()
+    rows = packing.pack(pieces, expected=packing.expected_pieces(docs, size=256), size=256, group=30).collect()
     ids = [x + [0] for x in library_ids("word_bpe_49k.json", texts)]
     held, bins = {}, {}
     for r in rows:
@@ -393,5 +458,14 @@ def test_packing_is_whole(spark):
             at += length
         assert at <= 256
     none = packing.cut_documents(spark.createDataFrame([], EMPTY), path)
-    assert packing.pack(none, documents=0).count() == 0
+    assert packing.pack(none, expected=0).count() == 0
+
 
+def test_groups_follow_bytes(spark):
+    """A few very long documents make as many groups as their pieces need."""
+    docs = spark.createDataFrame([(i, "the and of " * 40_000) for i in range(3)] + [(9, None)], "doc_id long, text string")
+    expected = packing.expected_pieces(docs)
+    pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert expected == 4 + 3 * 440_000 // 8192 and 0.5 < pieces.count() / expected < 4
+    rows = packing.pack(pieces, expected=expected, group=20).collect()
+    assert len({r.sequence_id >> 32 for r in rows}) > 5 and sum(r.length for r in rows) == 3 * 120_001 + 1
