@@ -19,7 +19,8 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the counts and look more like good ones than the corpus does."""
+    """Keeps the documents that pass the counts and whose byte n-grams are not much rarer among good
+    documents than in the corpus: their mean log ratio is -0.6 or more."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
     judged = quality.judge(docs, quality.fit(docs, trusted), keep=_others(docs))
     return judged.where("kept").select(*docs.columns)
@@ -48,7 +49,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def best_two_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token ids of all documents into sequences of up to 2048."""
     pieces = packing.cut_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), documents=docs.count())
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), expected=packing.expected_pieces(docs))
 
 
 STAGES = [
