@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,34 +31,57 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_made: list[str] = []
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir``. Only on one machine, as in tests, a temporary folder may
+    take its place; on a cluster executors would not share it, so that is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="marlstone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that later steps neither
-    compute it again nor lose it with an executor.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder takes its place.
-    """
+    compute it again nor lose it with an executor."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marlstone-checkpoint-"))
+        context.setCheckpointDir(_own_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a written table, below the one that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: like ``checkpointed``, but
-    compressed, and read by column. The folder stays until the cluster's owner empties it."""
+    compressed, and read by column. The folder stays until ``release``."""
     folder = shared_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all folders that ``shared_folder`` has made so far, when the results that read them
+    were written elsewhere; returns their number. Checkpoints go by Spark's own cleaner
+    (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
+    jvm, folders = spark._jvm, list(_made)
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _made.remove(folder)
+    return len(folders)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables below ``sf_dir``, through Spark's own reader.
 
