@@ -37,15 +37,8 @@ def section_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("page_assembly")
 def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as whole prose and fenced tables, cropped word for word; the blocks come from ``page_structure``."""
-    words = _words(spark, sf_dir)
-    blocks = geometry.page_structure(words)
-    tables = notes.words_in_box(words, blocks.where("kind = 'table'")).groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda x: x["body"]).alias("tables"))
-    formulas = blocks.where("kind = 'formula'").groupBy("doc_id", "page").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "body"))), lambda x: x["body"]).alias("formulas"))
-    prose = words.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "txt"))), lambda x: x["txt"]), " ").alias("prose")).withColumn("prose", F.regexp_replace("prose", r"^\s+|\s+$", ""))
-    none = F.expr("cast(array() as array<string>)")
-    met = prose.join(tables, ["doc_id", "page"], "left").join(formulas, ["doc_id", "page"], "left")
-    return met.select("doc_id", "page", notes.page_body(F.col("prose"), F.coalesce("tables", none), F.coalesce("formulas", none), F.col("page")).alias("body"))
+    """Pages as whole prose and fenced tables, cropped word for word, and formulas."""
+    return geometry.page_texts(_words(spark, sf_dir)).select("doc_id", "page", notes.page_body(F.col("prose"), F.col("tables"), F.col("formulas"), F.col("page")).alias("body"))
 
 
 @register("styled_lines", f"WITH {WORDS}, g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page, line ORDER BY x0, txt) AS back FROM lined WHERE trim(txt) <> '') SELECT doc_id, page, seq * 12.0::DOUBLE AS top, string_agg(CASE WHEN back > 1.5 THEN ' ' ELSE '' END || trim(txt), '' ORDER BY x0, txt) AS body FROM g GROUP BY doc_id, page, seq")
