@@ -10,15 +10,35 @@ from marlstone.functions import lexicons
 from marlstone.functions.text import collapsed, keywords, words
 
 
+#: Rows of query words that are broadcast, at most.
+MOST_ASKED = 100_000
+
+
+def asked_words(queries: DataFrame) -> tuple[DataFrame, list[str] | None]:
+    """``query_id, word`` of the queries' keywords, and their distinct words if there are few rows.
+
+    Then the rows are to be broadcast, and documents drop all other words before these become rows;
+    of more queries than that nothing is collected, and joins are by hash."""
+    asked = queries.select("query_id", F.explode(keywords(F.col("text"))).alias("word"))
+    if asked.limit(MOST_ASKED + 1).count() > MOST_ASKED:
+        return asked, None
+    return F.broadcast(asked), sorted(r["word"] for r in asked.select("word").distinct().collect())
+
+
+def _only(found: Column, known: list[str] | None) -> Column:
+    return found if known is None else F.filter(found, lambda w: w.isin(known))
+
+
 def overlap(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``query_id, doc_id, shared, n_chars``: distinct keywords that a query shares with a document.
 
-    queries: query_id and text, a stated set that doesn't grow with the documents. The documents'
-    words are met with the queries' by hash, so only words of queries go on.
+    queries: query_id and text, a stated set that doesn't grow with the documents. A document's
+    pairs are made where it is read, so only these are shuffled, never its words.
     """
-    asked = queries.select("query_id", F.explode(keywords(F.col("text"))).alias("word"))
+    asked, known = asked_words(queries)
     # in two steps, else each word's row would carry the whole text and measure it again
-    held = docs.select("doc_id", F.length("text").alias("n_chars"), keywords(F.col("text")).alias("words")).select("doc_id", "n_chars", F.explode("words").alias("word"))
+    found = F.array_distinct(_only(words(F.col("text")), known)) if known is not None else keywords(F.col("text"))
+    held = docs.select("doc_id", F.length("text").alias("n_chars"), found.alias("words")).select("doc_id", "n_chars", F.explode("words").alias("word"))
     return held.join(asked, "word").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.first("n_chars").alias("n_chars"))
 
 
@@ -113,12 +133,16 @@ def bm25(queries: DataFrame, pieces: DataFrame, *, key: str, least: float = 0.0,
 
     Statistics cover all pieces; only words of queries are joined.
     """
-    asked = queries.select("query_id", F.explode(keywords(F.col("text"))).alias("word"))
-    tokens = pieces.select(key, words(F.col("text")).alias("words")).select(key, F.size("words").alias("size"), F.col("words"))
+    asked, known = asked_words(queries)
+    tokens = pieces.select(key, words(F.col("text")).alias("words")).select(key, F.size("words").alias("size"), _only(F.col("words"), known).alias("words"))
     stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-    counted = tokens.select(key, "size", F.explode("words").alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+    each = tokens.select(key, "size", F.explode("words").alias("word"))
+    if known is None:
+        each = each.join(asked.select("word").distinct(), "word", "left_semi")
+    counted = each.groupBy(key, "word").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
     df = counted.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    met = counted.join(df, "word").join(asked, "word").crossJoin(F.broadcast(stats))  # one row
+    # a row for each word of the queries at most
+    met = counted.join(df if known is None else F.broadcast(df), "word").join(asked, "word").crossJoin(F.broadcast(stats))  # one row
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
     # rounded parts add up to the same sum in any order

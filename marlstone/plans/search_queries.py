@@ -115,13 +115,13 @@ def passage_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as result lists: a list for each last two digits of the id, in order of the id."""
-    pages = table(spark, sf_dir, "pages").select((F.col("page_id") % 20).alias("query_id"), "page_id", "url", "html")
+    """Pages as result lists of twelve each, as long as a list that is looked at whole: by the id."""
+    pages = table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 12).alias("query_id"), "page_id", "url", "html")
     return pages.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("page_id")) - 1)
 
 
 SHORTLIST = r"""
-r AS (SELECT page_id % 20 AS query_id, page_id, url, row_number() OVER (PARTITION BY page_id % 20 ORDER BY page_id) - 1 AS pos FROM pages QUALIFY pos < 12),
+r AS (SELECT page_id // 12 AS query_id, page_id, url, row_number() OVER (PARTITION BY page_id // 12 ORDER BY page_id) - 1 AS pos FROM pages QUALIFY pos < 12),
 s AS (SELECT *, regexp_replace(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '^www\.', '') AS site, trim(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/') = '' AS storefront FROM r),
 u AS (SELECT * FROM s WHERE site <> '' QUALIFY row_number() OVER (PARTITION BY query_id, site ORDER BY storefront, pos) = 1),
 short AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY storefront, pos) AS place FROM u QUALIFY place <= 3)"""
