@@ -57,8 +57,9 @@ def sentences(text: Column) -> Column:
     A dot between digits, or behind an abbreviation, ends none. Blank sentences are left out.
     """
     names = "|".join(sorted((a.replace(".", r"\.") for a in lexicons.ABBREVIATIONS), key=len, reverse=True))
-    behind = rf"""(?i)(?<=(?<![^ \t\n\r])['"()\[\]{{}}·]{{0,4}}(?:{names})['"()\[\]{{}}.:,;!?]{{0,4}}[ \t\n\r"']{{0,4}})\."""
-    held = F.regexp_replace(F.regexp_replace(text, r"(?<=\d)\.(?=\d)", _KEPT_DOT), behind, _KEPT_DOT)
+    # the dot first, so that only dots are looked behind
+    behind = rf"""(?i)\.(?<=(?<![^ \t\n\r])['"()\[\]{{}}·]{{0,4}}(?:{names})['"()\[\]{{}}.:,;!?]{{0,4}}[ \t\n\r"']{{0,4}}\.)"""
+    held = F.regexp_replace(F.regexp_replace(text, r"\.(?<=\d\.)(?=\d)", _KEPT_DOT), behind, _KEPT_DOT)
     cut = F.regexp_extract_all(held, F.lit(r"(?s)[^.!?;:]*(?:[.!?][.!?:]*|[;:]+)|[^.!?;:]+$"), F.lit(0))
     return F.filter(F.transform(cut, lambda s: F.trim(F.replace(s, F.lit(_KEPT_DOT), F.lit(".")))), lambda s: s != "")
 
@@ -155,6 +156,13 @@ def excerpt(text: Column, most: int = 600) -> Column:
     return F.when(F.length(plain) <= most, plain).otherwise(F.concat(F.regexp_replace(cut, r"[ ,;:\-]+$", ""), F.lit("…")))
 
 
+def page_excerpt(markdown: Column, page: Column) -> Column:
+    """The excerpt of what follows a page's anchor; empty if the page has none."""
+    mark = F.concat(F.lit("<!-- pag "), page.cast("string"), F.lit(" -->\n"))
+    at = F.instr(markdown, mark)
+    return F.when(at > 0, excerpt(F.substring(markdown, at + F.length(mark), F.length(markdown)))).otherwise("")
+
+
 def line_cut(text: Column, most: int = 1600) -> Column:
     """Longer texts end at their last line end, if it lies behind 60 %, and say so."""
     head = F.substring(text, 1, most)
