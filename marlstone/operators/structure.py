@@ -18,19 +18,21 @@ def body_size(lines: DataFrame) -> DataFrame:
 
 
 def sections(lines: DataFrame, *, bigger: float = 1.25, least: int = 80) -> DataFrame:
-    """``doc_id, seq, page, size, title, under, kept, level``: headings by font size.
+    """``doc_id, seq, page, size, title, under, is_title, kept, level``: headings by font size.
 
     lines: doc_id, seq, page, size, text. A heading is a line of two characters or more in at
     least ``bigger`` times the body's size; the text under it is that of smaller lines up to the next one, and below
-    ``least`` characters it is no section (kept false, level null). level: rank of its size
-    among kept ones, the largest first.
+    ``least`` characters it is no section (kept false, level null). is_title: the first heading, if
+    it is on page 1 and none is larger, names the document and is no section either. level: rank
+    of its size among kept ones, the largest first.
     """
     marked = lines.join(body_size(lines), "doc_id").withColumn("_head", (F.col("size") >= bigger * F.col("body")) & (F.length("text") > 1))
     order = Window.partitionBy("doc_id").orderBy("seq")
     islands = marked.withColumn("_island", F.sum(F.col("_head").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_island > 0")
     under = F.sum(F.when(F.col("size") < bigger * F.col("body"), F.length("text")).otherwise(0))
     found = islands.groupBy("doc_id", "_island").agg(F.min("seq").alias("seq"), under.cast("long").alias("under"), F.min_by(F.struct("page", "size", "text"), "seq").alias("_h"))
-    found = found.select("doc_id", "seq", "_h.page", "_h.size", F.col("_h.text").alias("title"), "under", (F.col("under") >= least).alias("kept"))
+    first = (F.col("_island") == 1) & (F.col("_h.page") == 1) & (F.col("_h.size") == F.max("_h.size").over(Window.partitionBy("doc_id")))
+    found = found.withColumn("is_title", first).select("doc_id", "seq", "_h.page", "_h.size", F.col("_h.text").alias("title"), "under", "is_title", ((F.col("under") >= least) & ~F.col("is_title")).alias("kept"))
     rank = F.dense_rank().over(Window.partitionBy("doc_id", "kept").orderBy(F.desc("size"))).cast("long")
     return found.withColumn("level", F.when(F.col("kept"), rank))
 
@@ -66,10 +68,19 @@ def numbered(found: DataFrame) -> DataFrame:
 
 
 def named(found: DataFrame, label: Column | str) -> DataFrame:
-    """Name: label, number and title; a repeated one gets `` (2)``, `` (3)`` and so on."""
+    """Name: label, number and title; a repeated one gets `` (2)``, `` (3)`` and so on, the first
+    that no section before it has. A document's sections are few, so their names are one array."""
     base = title_form(F.concat_ws(" ", label, "number", "title"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_base").orderBy("seq"))
-    return found.withColumn("_base", base).withColumn("_nth", nth).withColumn("name", F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.format_string("%s (%d)", "_base", "_nth"))).drop("_base", "_nth")
+    based = found.withColumn("_base", base)
+    held = based.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "_base"))).alias("_all"))
+
+    def step(used: Column, x: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(2), F.size(used) + 2), lambda k: F.format_string("%s (%d)", x["_base"], k))
+        return F.concat(used, F.array(F.when(~F.array_contains(used, x["_base"]), x["_base"]).otherwise(F.get(F.filter(tries, lambda t: ~F.array_contains(used, t)), 0))))
+
+    names = F.aggregate("_all", F.expr("cast(array() as array<string>)"), step)
+    each = held.select("doc_id", F.inline(F.arrays_zip(F.transform("_all", lambda x: x["seq"]).alias("seq"), names.alias("name"))))
+    return based.drop("_base").join(each, ["doc_id", "seq"])
 
 
 def figures_of_sections(figures: DataFrame, found: DataFrame) -> DataFrame:
@@ -130,3 +141,20 @@ def outline_or_sizes(outline: DataFrame, by_size: DataFrame, *, least: int = 3)
     enough = outline.groupBy("doc_id").count().where(F.col("count") >= least).select("doc_id")
     columns = ["doc_id", "seq", "page", "title", "level"]
     return outline.join(enough, "doc_id", "left_semi").select(*columns).unionByName(by_size.join(enough, "doc_id", "left_anti").select(*columns))
+
+
+def document_report(pages: DataFrame, found: DataFrame, verdicts: DataFrame, captions: DataFrame, *, least: int) -> DataFrame:
+    """Counts for each document that has pages.
+
+    pages: doc_id, page, chars; found: as ``sections`` gives it; verdicts: doc_id, page, verdict of
+    each image; captions: doc_id, page of pages that have one; least: the gate of P14.
+    """
+    told = pages.groupBy("doc_id").agg(F.max("page").alias("n_pages"), F.sum("chars").alias("n_chars"))
+    middle = upper_median(pages, by="doc_id", value="chars").select("doc_id", "upper_median", (F.col("upper_median") >= least).alias("has_text"))
+    cut = found.groupBy("doc_id").agg(F.count_if("kept").alias("n_sections"), F.count_if(~F.col("kept") & ~F.col("is_title")).alias("n_dropped"), F.max(F.when(F.col("is_title"), F.col("title"))).alias("title"))
+    shown = verdicts.join(captions.withColumn("_told", F.lit(True)), ["doc_id", "page"], "left")
+    is_ = lambda v: F.col("verdict") == v
+    figures = shown.groupBy("doc_id").agg(*[F.count_if(is_(v)).alias(f"n_{v}s") for v in ("figure", "decoration", "glyph", "ruler")], F.count_if(is_("figure") & F.col("_told")).alias("n_captioned"))
+    out = told.join(middle, "doc_id").join(cut, "doc_id", "left").join(figures, "doc_id", "left")
+    counts = ("n_sections", "n_dropped", "n_figures", "n_decorations", "n_glyphs", "n_rulers", "n_captioned")
+    return out.fillna(0, list(counts)).select("doc_id", "n_pages", "n_chars", "upper_median", "has_text", *counts[:2], "title", (F.col("n_sections") > 0).alias("structured"), *counts[2:], (F.col("n_figures") - F.col("n_captioned")).alias("n_uncaptioned"))

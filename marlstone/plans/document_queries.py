@@ -38,13 +38,18 @@ SECTIONS = f"""{BODY},
 marked AS (SELECT l.*, body, size >= 1.25 * body AND length(text) > 1 AS head FROM lines l JOIN body USING (doc_id)),
 isl AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY seq) AS island FROM marked QUALIFY island > 0),
 found AS (SELECT doc_id, min(seq) AS seq, arg_min(page, seq) AS page, arg_min(size, seq) AS size, arg_min(text, seq) AS title, sum(CASE WHEN size < 1.25 * body THEN length(text) ELSE 0 END)::BIGINT AS under FROM isl GROUP BY doc_id, island),
-sections AS (SELECT *, under >= 80 AS kept, CASE WHEN under >= 80 THEN dense_rank() OVER (PARTITION BY doc_id, under >= 80 ORDER BY size DESC) END AS level FROM found),
-ends AS (SELECT *, greatest(page, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY seq) - 1, 60)) AS page_end FROM sections WHERE kept)"""
+titled AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq) = 1 AND page = 1 AND size = max(size) OVER (PARTITION BY doc_id) AS is_title FROM found),
+keeping AS (SELECT *, under >= 80 AND NOT is_title AS kept FROM titled),
+sections AS (SELECT *, CASE WHEN kept THEN dense_rank() OVER (PARTITION BY doc_id, kept ORDER BY size DESC) END AS level FROM keeping),
+length AS (SELECT doc_id, max(page) AS pages FROM lines GROUP BY doc_id),
+ends AS (SELECT s.*, greatest(page, coalesce(lead(page) OVER (PARTITION BY doc_id ORDER BY seq) - 1, pages)) AS page_end FROM sections s JOIN length USING (doc_id) WHERE kept)"""
 
 
 def _sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = structure.sections(_lines(spark, sf_dir)).where("kept")
-    return structure.with_end_pages(found, F.lit(60))
+    """Kept sections; the last one of a document ends with its last page."""
+    lines = _lines(spark, sf_dir)
+    length = lines.groupBy("doc_id").agg(F.max("page").alias("pages"))
+    return structure.with_end_pages(structure.sections(lines).where("kept").join(length, "doc_id"), "pages").drop("pages")
 
 
 @register("body_font", f"WITH {BODY} SELECT doc_id, body FROM body")
@@ -52,9 +57,9 @@ def body_font(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.body_size(_lines(spark, sf_dir))
 
 
-@register("heading_levels", f"WITH {SECTIONS} SELECT doc_id, seq, title, under, kept, level FROM sections")
+@register("heading_levels", f"WITH {SECTIONS} SELECT doc_id, seq, title, under, is_title, kept, level FROM sections")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.sections(_lines(spark, sf_dir)).select("doc_id", "seq", "title", "under", "kept", "level")
+    return structure.sections(_lines(spark, sf_dir)).select("doc_id", "seq", "title", "under", "is_title", "kept", "level")
 
 
 @register("section_end_page", f"WITH {SECTIONS} SELECT doc_id, seq, page, page_end FROM ends")
@@ -151,19 +156,19 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", tx.excerpt(F.col("text")).alias("excerpt"))
 
 
-@register("slugs", r"SELECT doc_id, CASE WHEN s = '' THEN 'documento' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(strip_accents(lower(replace(text[1:40], 'ß', ''))), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
+@register("slugs", r"SELECT doc_id, CASE WHEN s = '' THEN 'documento' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)")
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of the first 40 characters, which stand for a file's name; a sharp s has no ASCII form and goes."""
-    return _docs(spark, sf_dir).select("doc_id", tx.slug(F.replace(F.substring("text", 1, 40), F.lit("ß"), F.lit(""))).alias("slug"))
+    """Slugs of whole texts."""
+    return _docs(spark, sf_dir).select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes named by their document's source and language, linking the sources that words ending in -er name by their length."""
-    linked = F.transform(F.slice(F.filter(F.split("text", " "), lambda w: w.endswith("er")), 1, 20), lambda w: F.concat(F.lit("[[src"), (F.length(w) * 2).cast("string"), F.lit("]]")))
+    linked = F.transform(F.filter(F.split("text", " "), lambda w: w.endswith("er")), lambda w: F.concat(F.lit("[[src"), (F.length(w) * 2).cast("string"), F.lit("]]")))
     return _docs(spark, sf_dir).select(F.col("doc_id").alias("note"), "source", F.array_join(linked, " ").alias("body"))
 
 
-@register("wikilink_resolution", r"""WITH n AS (SELECT doc_id AS note, list_transform(list_filter(string_split(text, ' '), lambda w: ends_with(w, 'er'))[1:20], lambda w: 'src' || (length(w) * 2)) AS ls FROM documents),
+@register("wikilink_resolution", r"""WITH n AS (SELECT doc_id AS note, list_transform(list_filter(string_split(text, ' '), lambda w: ends_with(w, 'er')), lambda w: 'src' || (length(w) * 2)) AS ls FROM documents),
 l AS (SELECT note, unnest(ls) AS target FROM n), known AS (SELECT DISTINCT source AS name FROM documents)
 SELECT note, count(*) AS n_links, count(name) AS n_resolved, coalesce(len(list_distinct(list(target) FILTER (WHERE name IS NULL))), 0)::INTEGER AS n_orphans FROM l LEFT JOIN known ON name = target GROUP BY note""")
 def wikilink_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,6 +216,28 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.coverage(_docs(spark, sf_dir).select("text", chunking.chunks(F.col("text"), 1000).alias("parts")))
 
 
+REPORT = f"""{FIGURES},
+hashed AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sha256(content)) AS copies FROM figures),
+judged AS (SELECT doc_id, page, CASE WHEN copies > 1 THEN 'decoration' WHEN least(w, h) < 64 THEN 'glyph' WHEN greatest(w / h, h / w) > 8 THEN 'ruler' ELSE 'figure' END AS verdict FROM hashed),
+f AS (SELECT j.doc_id, count(*) FILTER (WHERE verdict = 'figure') AS n_figures, count(*) FILTER (WHERE verdict = 'decoration') AS n_decorations, count(*) FILTER (WHERE verdict = 'glyph') AS n_glyphs, count(*) FILTER (WHERE verdict = 'ruler') AS n_rulers,
+  count(*) FILTER (WHERE verdict = 'figure' AND c.page IS NOT NULL) AS n_captioned FROM judged j LEFT JOIN (SELECT DISTINCT doc_id, page FROM ends) c ON c.doc_id = j.doc_id AND c.page = j.page GROUP BY j.doc_id),
+s AS (SELECT doc_id, count(*) FILTER (WHERE kept) AS n_sections, count(*) FILTER (WHERE NOT kept AND NOT is_title) AS n_dropped, max(title) FILTER (WHERE is_title) AS title FROM sections GROUP BY doc_id),
+pp AS (SELECT doc_id, page, sum(length(regexp_replace(text, '\\s', '', 'g')))::BIGINT AS n FROM lines GROUP BY ALL),
+p AS (SELECT doc_id, max(page) AS n_pages, sum(n)::BIGINT AS n_chars, list_sort(list(n))[count(*) // 2 + 1] AS upper_median FROM pp GROUP BY doc_id)
+SELECT doc_id, n_pages, n_chars, upper_median, upper_median >= 200 AS has_text, coalesce(n_sections, 0) AS n_sections, coalesce(n_dropped, 0) AS n_dropped, title, coalesce(n_sections, 0) > 0 AS structured,
+  coalesce(n_figures, 0) AS n_figures, coalesce(n_decorations, 0) AS n_decorations, coalesce(n_glyphs, 0) AS n_glyphs, coalesce(n_rulers, 0) AS n_rulers, coalesce(n_captioned, 0) AS n_captioned, coalesce(n_figures, 0) - coalesce(n_captioned, 0) AS n_uncaptioned
+FROM p LEFT JOIN s USING (doc_id) LEFT JOIN f USING (doc_id)"""
+
+
+@register("document_report", f"WITH {REPORT}")
+def document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told about each document: pages, characters, lane, sections and figures by verdict."""
+    lines = _lines(spark, sf_dir)
+    per_page = lines.groupBy("doc_id", "page").agg(F.sum(structure.numeric_pages(F.col("text"))).alias("chars"))
+    verdicts = media.raster_verdicts(_figures(spark, sf_dir).withColumn("hash", media.fingerprint(F.col("content"))))
+    return structure.document_report(per_page, structure.sections(lines), verdicts, _sections(spark, sf_dir).select("doc_id", "page").distinct(), least=200)
+
+
 @register("page_ranges", f"""WITH {SECTIONS},
 pages AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY seq) AS text FROM lines GROUP BY ALL)
 SELECT e.doc_id, e.seq AS section, length(trim(string_agg(p.text, chr(10) ORDER BY p.page)))::INTEGER AS n_chars FROM ends e JOIN pages p ON p.doc_id = e.doc_id AND p.page BETWEEN e.page AND e.page_end GROUP BY ALL""")
