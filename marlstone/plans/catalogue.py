@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Imports the modules that register queries."""
-    from marlstone.plans import conversation_queries, document_queries, event_queries, note_queries, search_queries  # noqa: F401
+    from marlstone.plans import conversation_queries, document_queries, event_queries, note_queries, sample_queries, search_queries  # noqa: F401
