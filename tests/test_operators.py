@@ -246,3 +246,51 @@ def test_page_ranges(spark):
     pages = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 4, "d")], "doc_id int, page int, text string")
     ranges = spark.createDataFrame([(1, 0, 1, 2), (1, 1, 3, 4), (1, 2, 4, 9)], "doc_id int, section int, first int, last int")
     assert {r.section: r.source for r in chunking.page_range(pages, ranges).collect()} == {0: "a\nb", 1: "", 2: "d"}
+
+
+def test_titles_are_no_sections(spark):
+    body = "x" * 100
+    rows = [(1, 0, 1, 20.0, "Titolo"), (1, 1, 1, 10.0, body), (1, 2, 1, 16.0, "Uno"), (1, 3, 1, 10.0, body), (1, 4, 2, 20.0, "Due"), (1, 5, 2, 10.0, body)]
+    rows += [(2, 0, 1, 16.0, "Parte"), (2, 1, 1, 10.0, body), (2, 2, 2, 20.0, "Grande"), (2, 3, 2, 10.0, body)]
+    found = structure.sections(spark.createDataFrame(rows, "doc_id int, seq int, page int, size double, text string")).collect()
+    assert sorted((r.doc_id, r.title, r.is_title, r.kept, r.level) for r in found) == [
+        (1, "Due", False, True, 1),
+        (1, "Titolo", True, False, None),
+        (1, "Uno", False, True, 2),
+        (2, "Grande", False, True, 1),
+        (2, "Parte", False, True, 2),
+    ]
+
+
+@pytest.mark.parametrize("most", [retrieval.MOST_ASKED, 0])
+def test_overlap_and_bm25_however_many_queries(spark, monkeypatch, most):
+    """The same rows with words that are broadcast and with joins by hash."""
+    monkeypatch.setattr(retrieval, "MOST_ASKED", most)
+    queries = spark.createDataFrame([(1, "gatto nero nero"), (2, "cane"), (3, "the of")], "query_id int, text string")
+    docs = spark.createDataFrame([(1, "gatto gatto cane"), (2, "un gatto nero dorme"), (3, None), (4, "altro")], "doc_id int, text string")
+    assert sorted((r.query_id, r.doc_id, r.shared) for r in retrieval.overlap(queries, docs).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1)]
+    scores = {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(queries, docs, key="doc_id").collect()}
+    assert set(scores) == {(1, 1), (1, 2), (2, 1)} and scores[1, 2] > scores[1, 1]
+
+
+def test_words_of_a_sentence_are_cut_once(spark):
+    said = spark.createDataFrame([(1, 1, "user", "Ho fame. Vado via.")], "conv_id int, turn int, role string, text string")
+    plan = facts.facts(said)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 3
+
+
+def test_tables_are_released(spark, tmp_path, monkeypatch):
+    from marlstone import session
+
+    with monkeypatch.context() as patch:
+        patch.setattr(session, "_own_folder", lambda _: str(tmp_path))
+        session.stored(spark.range(3)).count()
+        assert len(list(tmp_path.iterdir())) == 1
+        session.release(spark)
+        assert not list(tmp_path.iterdir())
+
+    class Cluster:
+        conf, sparkContext = spark.conf, type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Cluster, "table")
