@@ -290,7 +290,8 @@ def test_tables_are_released(spark, tmp_path, monkeypatch):
         assert not list(tmp_path.iterdir())
 
     class Cluster:
-        conf, sparkContext = spark.conf, type("Context", (), {"master": "spark://host:7077"})
+        conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_folder(Cluster, "table")
