@@ -150,3 +150,23 @@ def merged_bullets(bullets: Column, most: int = 4) -> Column:
     """The first of each bullet that differ by more than case, ``most`` of them, in order."""
     low = F.transform(bullets, lambda b: F.lower(b))
     return F.slice(F.filter(bullets, lambda b, i: F.array_position(low, F.lower(b)) == i + 1), 1, most)
+
+
+def sections_for_model(sources: DataFrame, *, least: int = LEAST_SOURCE, most: int | None = None) -> DataFrame:
+    """C7 up to the model: ``sources`` (a column source) with n_chars, placeholder_share, reason, divided,
+    for_model and material.
+
+    P18: reason tells why a section is left out, null for others, whose text for the model and
+    kept blocks follow. divided: whether the section is above ``most`` characters and so goes to the
+    model in parts (``chunks``)."""
+    n = F.col("n_chars")
+    told = sources.withColumn("n_chars", F.length(collapsed(F.col("source")))).withColumn("placeholder_share", placeholder_share(F.col("source")))
+    told = told.withColumn("reason", F.when(n < least, F.format_string("fonte troppo corta: %d caratteri", n)))
+    kept = F.col("reason").isNull()
+    return told.withColumn("divided", kept & (n > (most or budget()))).withColumn("for_model", F.when(kept, for_model(F.col("source")))).withColumn("material", F.when(kept, material(F.col("source"))))
+
+
+def throughput(tokens: Column, model_ns: Column, wall_s: Column, parts: Column) -> Column:
+    """Tokens a second: of one part by the model's own time, of several by the clock; 0 for no time."""
+    own = F.when(parts > 1, F.try_divide(tokens, wall_s)).otherwise(F.try_divide(tokens * 1e9, model_ns))
+    return F.coalesce(F.round(own, 1), F.lit(0.0))

@@ -79,4 +79,4 @@ SELECT host, notice, count(*) AS n FROM n WHERE notice IS NOT NULL GROUP BY ALL"
 def health_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as a host's states: an error is a bad one."""
     states = table(spark, sf_dir, "events").select(F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") != "error").alias("ok"))
-    return supervision.notices(states).groupBy("host", "notice").agg(F.count(F.lit(1)).alias("n"))
+    return supervision.notices(states, tie="event_id").groupBy("host", "notice").agg(F.count(F.lit(1)).alias("n"))

@@ -704,3 +704,129 @@ ANCHORED = Rows(
 def page_excerpts(anchored: DataFrame) -> DataFrame:
     """From the page's anchor on."""
     return anchored.select("id", tx.page_excerpt(F.col("md"), F.col("page")).alias("excerpt"))
+
+
+@sample(
+    "second_engine_events",
+    {"s": Rows("id bigint, data string", (
+        (1, '{"type":"server.connected"}'),
+        (2, '{"type":"session.status","properties":{"sessionID":"s1","status":{"type":"retry","attempt":2}}}'),
+        (3, '{"type":"session.status","properties":{"sessionID":"s1","status":{"type":"idle"}}}'),
+        (4, '{"type":"session.idle","properties":{"sessionID":"s1"}}'),
+        (5, '{"type":"session.error","properties":{"sessionID":"s1","error":{"name":"x"}}}'),
+        (6, '{"type":"message.part.updated","properties":{"part":{"type":"tool","tool":"bash"}}}'),
+        (7, '{"type":"session.idle","properties":{"sessionID":"s2"}}'),
+        (8, "non json"),
+        (9, '{"type":"session.status","properties":{"sessionID":"","status":{"type":"busy"}}}'),
+        (10, '{"altro":1}'),
+    ))},
+    """AND j AS (SELECT *, CASE WHEN json_valid(data) THEN data END AS d FROM s),
+    k AS (SELECT *, json_extract_string(d, '$.type') AS kind, CASE json_extract_string(d, '$.type') WHEN 'session.status' THEN json_extract_string(d, '$.properties.status.type') WHEN 'message.part.updated' THEN json_extract_string(d, '$.properties.part.type') END AS state FROM j WHERE coalesce(json_extract_string(d, '$.properties.sessionID'), '') IN ('', 's1'))
+    SELECT id, CASE WHEN kind = 'session.error' THEN 'fallito' WHEN kind = 'session.idle' OR (kind = 'session.status' AND state = 'idle') THEN 'idle' ELSE 'vivo' END AS fact, CASE WHEN d IS NULL THEN 'sse_non_json' ELSE coalesce(kind, 'None') END AS type, state FROM k""",
+)
+def second_engine_events(stream: DataFrame) -> DataFrame:
+    """X1 for event streams."""
+    read = stream.select("id", supervision.normalized_session(F.col("data"), "s1").alias("e")).where("e is not null")
+    return read.select("id", "e.fact", "e.type", "e.state")
+
+
+@sample(
+    "closed_streams",
+    {"e": Rows("run_id bigint, event_id bigint, ts int, fact string, alive boolean", ((1, 1, 5, "vivo", True), (1, 2, 6, "finito", True), (2, 1, 7, "vivo", True))), "d": Rows("run_id bigint, event_id bigint, ts int", ((1, 9, 20), (2, 9, 21), (3, 9, 22)))},
+    "SELECT run_id, event_id, ts, fact FROM e UNION ALL SELECT run_id, event_id, ts, 'chiuso' FROM d WHERE run_id NOT IN (SELECT run_id FROM e WHERE fact IN ('finito', 'fallito', 'chiuso'))",
+)
+def closed_streams(events: DataFrame, ended: DataFrame) -> DataFrame:
+    """The end of a stream."""
+    return supervision.closed(events, ended).select("run_id", "event_id", "ts", "fact")
+
+
+@sample("idle_models", {"m": Rows("name string, loaded boolean, idle_s double, idle_locked_s double", (("a", True, 600.0, 600.0), ("b", True, 900.0, 2.0), ("c", False, 900.0, 900.0), ("d", True, 599.9, 700.0), ("e", True, None, None)))}, "SELECT name FROM m WHERE loaded AND idle_s >= 600 AND idle_locked_s >= 600")
+def idle_models(models: DataFrame) -> DataFrame:
+    """X13."""
+    return supervision.evicted(models).select("name")
+
+
+@sample("text_pages", {"t": Rows("doc_id bigint, text string", ((1, "uno\fdue\f"), (2, "solo"), (3, "a\f\fc\f"), (4, "")))}, "AND c AS (SELECT doc_id, string_split(regexp_replace(text, chr(12) || '$', ''), chr(12)) AS ps FROM t) SELECT doc_id, generate_subscripts(ps, 1)::INTEGER AS page, unnest(ps) AS text FROM c")
+def text_pages(texts: DataFrame) -> DataFrame:
+    """S3."""
+    return readers.pages_of_text(texts)
+
+
+@sample(
+    "metasearch_results",
+    {"a": Rows("query_id bigint, body string", ((1, '{"results":[{"url":"https://a.it","title":"A","content":"x"},{"url":"https://b.it","title":null,"extra":1}]}'), (2, '{"results":[]}'), (3, "errore"), (4, '{"altro":2}')))},
+    """AND j AS (SELECT query_id, json_extract(body, '$.results[*]') AS rs FROM a WHERE json_valid(body)), e AS (SELECT query_id, generate_subscripts(rs, 1)::INTEGER - 1 AS pos, unnest(rs) AS r FROM j)
+    SELECT query_id, pos, json_extract_string(r, '$.url') AS url, json_extract_string(r, '$.title') AS title, json_extract_string(r, '$.content') AS content FROM e""",
+)
+def metasearch_results(answers: DataFrame) -> DataFrame:
+    """S9."""
+    return readers.metasearch(answers)
+
+
+@sample("polled_updates", {"u": Rows("update_id bigint, text string", ((4, "vecchio"), (7, "b"), (5, "a")))}, "SELECT update_id, text, update_id + 1 AS next_offset FROM u WHERE update_id >= 5")
+def polled_updates(updates: DataFrame) -> DataFrame:
+    """S15."""
+    return readers.updates_since(updates, 5)
+
+
+@sample(
+    "tool_history",
+    {"m": Rows("id bigint, role string, text string, tool_calls string, call_id string", ((1, "user", "ciao", None, None), (2, "assistant", "vedo", '[{"id":"c1","name":"cerca"},{"id":"c2","name":"leggi"}]', None), (3, "tool", "esito", None, "c1"), (4, "tool", None, "[]", "c2"), (5, "assistant", None, "", None)))},
+    """AND h AS (SELECT *, role <> 'tool' AND coalesce(tool_calls, '') <> '' AS has FROM m)
+    SELECT id, CASE WHEN role = 'tool' THEN 'tool' WHEN has THEN 'assistant' ELSE role END AS role, CASE WHEN NOT has THEN coalesce(text, '') END AS content, CASE WHEN has THEN array_to_string(json_extract_string(tool_calls, '$[*].name'), ',') END AS names, CASE WHEN role = 'tool' THEN call_id END AS call_id FROM h""",
+)
+def tool_history(messages: DataFrame) -> DataFrame:
+    """History shaping with tools' messages."""
+    return readers.history(messages).select("id", "role", "content", F.array_join(F.transform("calls", lambda c: c["name"]), ",").alias("names"), "call_id")
+
+
+@sample("live_locks", {"l": Rows("path string, pid bigint", (("a", 10), ("b", 11), ("c", 12))), "p": Rows("pid bigint", ((10,), (12,), (12,)))}, "SELECT path, pid, pid IN (SELECT pid FROM p) AS held FROM l")
+def live_locks(locks: DataFrame, processes: DataFrame) -> DataFrame:
+    """J13."""
+    return readers.live(locks, processes)
+
+
+@sample(
+    "page_differences",
+    {"x": Rows("doc_id bigint, page int", ((1, 1), (1, 2), (1, 3), (2, 1))), "p": Rows("doc_id bigint, page int", ((1, 1), (1, 1), (1, 3), (2, 1), (2, 2)))},
+    "SELECT doc_id, page, 'missing' AS side FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM p) UNION ALL SELECT doc_id, page, 'unexpected' FROM (SELECT * FROM p EXCEPT ALL SELECT * FROM x)",
+)
+def page_differences(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """2.7: the pages that are expected are those that are there."""
+    return readers.page_differences(expected, present)
+
+
+SOURCES = Rows("id bigint, source string", ((1, "breve"), (2, "parola   " * 60), (3, "Prosa lunga. " * 20 + "<!-- tabella pag 1 blocco 1 -->\n```\n1 2\n```\nfine"), (4, "x " * 9000)))
+
+
+@sample(
+    "section_path",
+    {"b": SOURCES},
+    rf"""AND n AS (SELECT *, length(trim(regexp_replace(source, '\s+', ' ', 'g'))) AS n_chars, length(array_to_string(regexp_extract_all(source, '{_BLOCK}'), '')) AS held FROM b)
+    SELECT id, n_chars, round(CASE WHEN n_chars = 0 THEN 0.0::DOUBLE ELSE held::DOUBLE / n_chars END, 9) AS share, CASE WHEN n_chars < 200 THEN 'fonte troppo corta: ' || n_chars || ' caratteri' END AS reason, n_chars >= 200 AND n_chars > 15417 AS divided,
+      CASE WHEN n_chars >= 200 THEN regexp_replace(source, '{_BLOCK.replace("(tabella|formula)", "tabella")}', '{lexicons.PLACEHOLDERS["tabella"].replace("'", "''")}', 'g') END AS for_model,
+      CASE WHEN n_chars >= 200 THEN array_to_string(list_transform(regexp_extract_all(source, '{_BLOCK}'), lambda x: '**Tabella**' || chr(10) || chr(10) || x), chr(10) || chr(10)) END AS material FROM n""",
+)
+def section_path(sources: DataFrame) -> DataFrame:
+    """C7 up to the model, with P18's reasons."""
+    return chunking.sections_for_model(sources).select("id", "n_chars", F.round("placeholder_share", 9).alias("share"), "reason", "divided", "for_model", "material")
+
+
+@sample(
+    "model_throughput",
+    {"r": Rows("id bigint, tokens bigint, model_ns bigint, wall_s double, parts int", ((1, 100, 2000000000, 9.0, 1), (2, 100, 2000000000, 9.0, 3), (3, 5, 0, 1.0, 1), (4, 5, 10, 0.0, 2)))},
+    "SELECT id, coalesce(round(CASE WHEN parts > 1 THEN tokens / nullif(wall_s, 0) ELSE tokens * 1e9::DOUBLE / nullif(model_ns, 0) END, 1), 0.0::DOUBLE) AS tokens_s FROM r",
+)
+def model_throughput(runs: DataFrame) -> DataFrame:
+    """A18, both definitions."""
+    return runs.select("id", chunking.throughput(F.col("tokens"), F.col("model_ns"), F.col("wall_s"), F.col("parts")).alias("tokens_s"))
+
+
+@sample(
+    "changed_work",
+    {"w": Rows("note string, text string", (("a", "uno"), ("b", "due"), ("c", "tre"))), "d": Rows("note string, hash string", (("a", "bf0ec3694e122e067d9964a38ec7d841"), ("b", "0"), ("z", "1")))},
+    "SELECT note, sha256(text)[1:32] AS hash FROM w WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.note = w.note AND d.hash = sha256(w.text)[1:32])",
+)
+def changed_work(work: DataFrame, done: DataFrame) -> DataFrame:
+    """Pending by fingerprint: what was never done, or has another text since."""
+    return structure.pending(work.select("note", media.fingerprint(F.col("text")).alias("hash")), done, keys=["note", "hash"])

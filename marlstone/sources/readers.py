@@ -73,8 +73,11 @@ def front_matter(text: Column) -> Column:
 
 def _last_map(pairs: Column) -> Column:
     """A map in which the last of equal keys counts."""
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    # in order of key and place, an entry whose successor has its key is not the last one
+    placed = F.array_sort(F.transform(pairs, lambda p, i: F.struct(p["key"].alias("key"), i.alias("i"), p["value"].alias("value"))))
+    followed = F.zip_with(placed, F.slice(placed, 2, F.greatest(F.size(pairs), F.lit(1))), lambda p, q: F.struct(p.alias("p"), q["key"].alias("next")))
+    last = F.filter(followed, lambda x: x["p"].isNotNull() & ~x["p"]["key"].eqNullSafe(x["next"]))
+    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["p"]["key"].alias("key"), x["p"]["value"].alias("value"))))
 
 
 def section_notes(notes: DataFrame) -> DataFrame:
@@ -86,6 +89,52 @@ def section_notes(notes: DataFrame) -> DataFrame:
     return out.where("section is not null and page is not null")
 
 
+def pages_of_text(texts: DataFrame) -> DataFrame:
+    """S3: ``doc_id, page, text`` of documents' text output (doc_id, text), a form feed behind each page."""
+    cut = F.split(F.regexp_replace("text", "\f$", ""), "\f")
+    return texts.select("doc_id", F.posexplode(cut).alias("page", "text")).withColumn("page", F.col("page") + 1)
+
+
+def metasearch(answers: DataFrame) -> DataFrame:
+    """``query_id, pos, url, title, content`` of answers (query_id, body) in JSON; bodies that
+    aren't JSON, or have no results, give no rows."""
+    kind = "struct<results:array<struct<url:string,title:string,content:string>>>"
+    each = answers.select("query_id", F.posexplode(F.from_json("body", kind)["results"]).alias("pos", "r"))
+    return each.select("query_id", "pos", "r.url", "r.title", "r.content")
+
+
+def updates_since(updates: DataFrame, offset: int) -> DataFrame:
+    """Updates from ``offset`` on, with next_offset, which is to be kept before they are handled,
+    so that none is handled twice."""
+    return updates.where(F.col("update_id") >= offset).withColumn("next_offset", F.col("update_id") + 1)
+
+
+def history(messages: DataFrame) -> DataFrame:
+    """``id, role, content, calls, call_id`` as the model gets messages (id, role, text, tool_calls,
+    call_id): answers of tools name their call; an assistant's message with calls has no content."""
+    kind = "array<struct<id:string,name:string>>"
+    has = (F.col("role") != "tool") & (F.coalesce("tool_calls", F.lit("")) != "")
+    return messages.select(
+        "id",
+        F.when(F.col("role") == "tool", "tool").when(has, "assistant").otherwise(F.col("role")).alias("role"),
+        F.when(~has, F.coalesce("text", F.lit(""))).alias("content"),
+        F.when(has, F.from_json("tool_calls", kind)).alias("calls"),
+        F.when(F.col("role") == "tool", F.col("call_id")).alias("call_id"),
+    )
+
+
+def live(locks: DataFrame, processes: DataFrame) -> DataFrame:
+    """Locks (path, pid) with held, whether their process lives; the others are orphans."""
+    return locks.join(processes.select("pid").distinct().withColumn("held", F.lit(True)), "pid", "left").withColumn("held", F.coalesce("held", F.lit(False)))
+
+
+def page_differences(expected: DataFrame, present: DataFrame) -> DataFrame:
+    """``doc_id, page, side`` of pages that only one of the two has (extra ones included): none if all are there."""
+    keys = ["doc_id", "page"]
+    lacking = expected.select(*keys).exceptAll(present.select(*keys)).withColumn("side", F.lit("missing"))
+    return lacking.unionByName(present.select(*keys).exceptAll(expected.select(*keys)).withColumn("side", F.lit("unexpected")))
+
+
 def page_words(pages: DataFrame) -> DataFrame:
     """``doc_id, page, x0, y0, x1, y1, txt`` of pages (doc_id, page, xhtml) with boxes of words."""
     # Fixed value: how the word boxes are written.

@@ -30,6 +30,32 @@ def normalized(raw: Column) -> Column:
     return F.struct(F.coalesce(fact, F.lit("vivo")).alias("fact"), type_.alias("type"), F.when(parsed.isNotNull(), raw).alias("detail"), F.lit(True).alias("alive"))
 
 
+def normalized_session(data: Column, session: str) -> Column:
+    """X1 for the second engine: struct (fact, type, state, alive) of an event's data (JSON); null for
+    events of other sessions. Whether an idle session has finished is for ``confirmed`` to say, so
+    idle is its own fact until then; data that isn't JSON still is a sign of life."""
+    at = lambda path: F.get_json_object(data, path)
+    kind, own, bad = at("$.type"), at("$.properties.sessionID"), F.try_parse_json(data).isNull()
+    state = F.when(kind == "session.status", at("$.properties.status.type")).when(kind == "message.part.updated", at("$.properties.part.type"))
+    idle = (kind == "session.idle") | ((kind == "session.status") & (state == "idle"))
+    fact = F.when(kind == "session.error", "fallito").when(idle, "idle").otherwise("vivo")
+    out = F.struct(F.coalesce(fact, F.lit("vivo")).alias("fact"), F.when(bad, "sse_non_json").otherwise(F.coalesce(kind, F.lit("None"))).alias("type"), state.alias("state"), F.lit(True).alias("alive"))
+    return F.when(own.isNull() | (own == "") | (own == session), out)
+
+
+def closed(events: DataFrame, ended: DataFrame) -> DataFrame:
+    """``events`` and, for each stream (run_id, event_id, ts) that ended without a terminal event
+    before, the fact chiuso."""
+    over = events.where(F.col("fact").isin(*TERMINAL)).select("run_id").distinct()
+    return events.unionByName(ended.join(over, "run_id", "left_anti").select("run_id", "event_id", "ts", F.lit("chiuso").alias("fact"), F.lit(True).alias("alive")))
+
+
+def evicted(models: DataFrame, *, idle: float = 600) -> DataFrame:
+    """Loaded models (name, loaded, idle_s, idle_locked_s) that go: idle for ``idle`` seconds, also
+    when looked at again under the lock; an idle time is null while nothing was loaded."""
+    return models.where(F.col("loaded") & (F.col("idle_s") >= idle) & (F.col("idle_locked_s") >= idle))
+
+
 def silences(events: DataFrame) -> DataFrame:
     """silence_s: seconds since the last vivo event before, or the run's first event."""
     order = Window.partitionBy("run_id").orderBy("ts", "event_id")
@@ -98,7 +124,7 @@ def steps(outcome: Column) -> Column:
 
 def wakes(checks: DataFrame, *, least: float = 60) -> DataFrame:
     """Whether a host's slept seconds grew by more than ``least`` since the check before."""
-    order = Window.partitionBy("host").orderBy("ts")
+    order = Window.partitionBy("host").orderBy("ts", "slept_s")
     return checks.withColumn("woke", F.coalesce(F.col("slept_s") - F.lag("slept_s").over(order) > least, F.lit(False)))
 
 
@@ -107,16 +133,18 @@ def reasons_to_stay(flags: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in flags.items()]))
 
 
-def notices(states: DataFrame, *, repeat: float = 86400) -> DataFrame:
+def notices(states: DataFrame, *, repeat: float = 86400, tie: str | None = None) -> DataFrame:
     """Health notices: of each host's states (ts, ok) those that are told: a change (not the
-    first state), and while not ok a reminder every ``repeat`` seconds since the change."""
-    order = Window.partitionBy("host").orderBy("ts")
+    first state), and while not ok a reminder every ``repeat`` seconds since the change. tie: a
+    column that orders states of one instant; without it the bad one comes first."""
+    at = ["ts", tie or "ok"]
+    order = Window.partitionBy("host").orderBy(*at)
     before = F.lag("ok").over(order)
     turned = states.withColumn("_turn", (before.isNull() | (before != F.col("ok"))).cast("int")).withColumn("_first", before.isNull())
     turned = turned.withColumn("_run", F.sum("_turn").over(order))
     since = F.min(F.unix_seconds("ts")).over(Window.partitionBy("host", "_run"))
     slot = F.floor((F.unix_seconds("ts") - since) / repeat)
-    timed = turned.withColumn("_slot", slot).withColumn("_before", F.lag("_slot").over(Window.partitionBy("host", "_run").orderBy("ts")))
+    timed = turned.withColumn("_slot", slot).withColumn("_before", F.lag("_slot").over(Window.partitionBy("host", "_run").orderBy(*at)))
     kind = F.when(F.col("_first"), None).when((F.col("_turn") == 1) & ~F.col("ok"), "red").when(F.col("_turn") == 1, "green").when(~F.col("ok") & (F.col("_slot") > F.col("_before")), "still red")
     return timed.withColumn("notice", kind).where("notice is not null").select("host", "ts", "ok", "notice")
 
