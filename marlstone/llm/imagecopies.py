@@ -10,13 +10,14 @@
    more, not sharing a place, agree on these.
 4. Classes are what links join. In buckets that still hold several classes, all pairs of corners
    across classes are then compared, in blocks, and vote again, so no class is lost that all pairs
-   of all buckets would join. Two images of one class are not compared any more: n_links leaves out
-   links of larger buckets that their class does not need.
+   of all buckets would join. Two images of one class are not compared any more.
 
 Rows are dealt by key; partial sums come before each shuffle; nothing is collected.
 
 Defined results: null or undecodable bytes, and images without corners, are classes of their own;
-repeated rows are copies of each other (if they have corners); a null id is a class of its own.
+repeated rows are copies of each other (if they have corners); a null id is a class of its own. Of
+equally strong corners at the end of an image's list some are kept, by numpy's partition, which
+gives equal images the same ones.
 """
 
 from __future__ import annotations
@@ -32,12 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from marlstone.llm.common import chunks
 from marlstone.llm.neardup import components, met_evenly
 from marlstone.session import stored
 
 CORNERS, SCALES = 24, (1.0, 0.8)
 RADIUS, TESTS, TURNS = 12, 192, 36
 TABLES, DISTANCE, INLIERS, SMALL = TESTS // 32, 48, 4, 16
+#: Bytes of images that are described at once, unless one has more: a pixel takes some 100 bytes meanwhile.
+AT_ONCE = 1 << 20
 #: Corners of a block in larger buckets, about.
 BLOCK = 1024
 _HEADER = regex.compile(rb"P([56])\s+(?:#[^\n]*\s+)*(\d+)\s+(?:#[^\n]*\s+)*(\d+)\s+(?:#[^\n]*\s+)*(\d+)\s", regex.A)
@@ -153,30 +157,28 @@ def described(media: DataFrame, *, media_col: str) -> DataFrame:
     fields = list(arrow.field("corners").type.value_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, batch.num_rows, 128):
-                part = batch.slice(first, 128)
-                by_shape: dict[tuple, list] = {}
-                for i, data in enumerate(part[media_col].to_pylist()):
-                    if (image := decode_pnm(data)) is not None:
-                        by_shape.setdefault(image.shape, []).append((i, image))
-                held: dict[str, list] = {k: [] for k in ("image", "y", "x", "turn", "scale", "bits")}
-                for own in by_shape.values():
-                    found = describe(np.stack([image for _, image in own]))
-                    found["image"] = np.array([i for i, _ in own])[found["image"].astype(int)]
-                    for k, v in held.items():
-                        v.append(found[k])
-                of = np.concatenate(held["image"]).astype(int) if held["image"] else np.zeros(0, int)
-                order = np.argsort(of, kind="stable")
-                sizes = np.bincount(of, minlength=part.num_rows)
-                bits = (np.concatenate(held["bits"])[order] if len(of) else np.zeros((0, TESTS // 8), np.uint8)).copy().view("<i4")
-                tables = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * TABLES), pa.array(bits.reshape(-1)))
-                number = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                flat = {k: np.concatenate(held[k])[order] if len(of) else np.zeros(0) for k in ("y", "x", "turn", "scale")}
-                columns = [pa.array(number.astype(np.int32)), *(pa.array(flat[k].astype(np.float32)) for k in ("y", "x", "turn")), pa.array(flat["scale"].astype(np.int32)), tables.cast(fields[-1].type)]
-                structs = pa.StructArray.from_arrays(columns, fields=fields)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), structs).cast(arrow.field("corners").type)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists], schema=arrow)
+        for part in chunks(batches, media_col, AT_ONCE):
+            by_shape: dict[tuple, list] = {}
+            for i, data in enumerate(part[media_col].to_pylist()):
+                if (image := decode_pnm(data)) is not None:
+                    by_shape.setdefault(image.shape, []).append((i, image))
+            held: dict[str, list] = {k: [] for k in ("image", "y", "x", "turn", "scale", "bits")}
+            for own in by_shape.values():
+                found = describe(np.stack([image for _, image in own]))
+                found["image"] = np.array([i for i, _ in own])[found["image"].astype(int)]
+                for k, v in held.items():
+                    v.append(found[k])
+            of = np.concatenate(held["image"]).astype(int) if held["image"] else np.zeros(0, int)
+            order = np.argsort(of, kind="stable")
+            sizes = np.bincount(of, minlength=part.num_rows)
+            bits = (np.concatenate(held["bits"])[order] if len(of) else np.zeros((0, TESTS // 8), np.uint8)).copy().view("<i4")
+            tables = pa.ListArray.from_arrays(pa.array(np.arange(len(of) + 1, dtype=np.int32) * TABLES), pa.array(bits.reshape(-1)))
+            number = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            flat = {k: np.concatenate(held[k])[order] if len(of) else np.zeros(0) for k in ("y", "x", "turn", "scale")}
+            columns = [pa.array(number.astype(np.int32)), *(pa.array(flat[k].astype(np.float32)) for k in ("y", "x", "turn")), pa.array(flat["scale"].astype(np.int32)), tables.cast(fields[-1].type)]
+            structs = pa.StructArray.from_arrays(columns, fields=fields)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), structs).cast(arrow.field("corners").type)
+            yield pa.RecordBatch.from_arrays([*(part[c] for c in names), lists], schema=arrow)
 
     return media.mapInArrow(run, schema)
 
@@ -278,18 +280,17 @@ def _links(matches: DataFrame, inliers: int) -> DataFrame:
 
 
 def image_copies(media: DataFrame, *, id_col: str, media_col: str, inliers: int = INLIERS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns ``keep``, class_id (the class's smallest id), class_size and n_links
-    (images that were found linked to this one, at least one in a class of several) of every row."""
+    """``id_col``, the columns ``keep``, class_id (the class's smallest id), class_size, and
+    representative (true for one row of each class) of every row."""
     numbered = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)]).withColumn("row", F.monotonically_increasing_id())
     # written once, so that row numbers hold and images aren't described again
     rows = stored(described(numbered, media_col="media"))
     crowd = _met(rows.select("row", F.inline("corners")))
     first = stored(_links(_matches(crowd), inliers))
     links = first.union(stored(_links(_across(crowd, components(first)), inliers)))
-    ends = links.select(F.col("a").alias("row")).union(links.select(F.col("b").alias("row"))).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
-    classed = rows.drop("corners").join(components(links).withColumnRenamed("node", "row"), "row", "left").join(ends, "row", "left").withColumn("root", F.coalesce("root", "row"))
-    classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return met_evenly(classed, classes, "root").select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classed = rows.drop("corners").join(components(links).withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    classes = classed.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("one"))
+    return met_evenly(classed, classes, "root").select(F.col("id").alias(id_col), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "class_id", "class_size", (F.col("row") == F.col("one.row")).alias("representative"))
 
 
 def drawn(vectors: np.ndarray, side: int = 80) -> np.ndarray:

@@ -72,6 +72,16 @@ def test_repeated_rows_and_null_ids(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(400_000)]
+    other = list(words)
+    for i in range(0, len(other), 200):  # five shingles of 200 differ
+        other[i] += "x"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words)), (4, " ".join(words[:200_000])), (5, "y" * 3_000_000)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(3)
     errors = []
@@ -163,7 +173,7 @@ def test_image_copies_are_found(spark):
     found = imagecopies.image_copies(media, id_col="vec_id", media_col="media", keep=("edited",)).collect()
     assert len(found) == 62 + 30  # vectors without values have no picture, so no copy either
     copies = [r for r in found if r.edited]
-    assert np.mean([r.n_links > 0 and r.class_id == r.vec_id for r in copies]) >= 0.9
+    assert np.mean([r.class_size > 1 and r.class_id == r.vec_id for r in copies]) >= 0.9
     plain = {r.vec_id: r for r in found if not r.edited}
     assert all(r.class_id == i and r.class_size <= 2 for i, r in plain.items())
 
@@ -222,7 +232,7 @@ def test_copies_meet_beyond_a_buckets_first_image(spark, monkeypatch, small, blo
         found = {r.id: r for r in imagecopies.image_copies(media, id_col="id", media_col="media", inliers=inliers).collect()}
         expected = brute_image_classes(images, inliers)
         assert [found[i].class_id for i in range(len(images))] == expected
-        assert all((found[i].n_links > 0) == (expected.count(expected[i]) > 1) for i in found)
+        assert all(found[i].class_size == expected.count(expected[i]) and found[i].representative == (i == expected[i]) for i in found)
 
 
 def pipeline_docs(spark):
@@ -252,6 +262,25 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert len({(r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}) == len(seen[4])
 
 
+def test_stages_keep_clashing_columns_and_repeated_ids(spark, tmp_path):
+    """Extra columns named as what the operators make come through; rows of one id, or none, are rows."""
+    names = ["row", "node", "keys", "sig", "root", "class_id", "representative", "masked", "spans", "key", "kept", "base_failed", "lang_pred", "id", "piece", "_text", "_id", "found"]
+    texts, docs = pipeline_docs(spark)
+    rows = [(0 if i in (3, 4) else None if i == 5 else i, t, "en", "src", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)]
+    kinds = ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {kinds}")
+    spark.createDataFrame([(i, 1, 0) for i in range(25)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+    held = docs.collect()
+    assert sorted(r.row for r in held if not r.doc_id) == ["row0", "row3", "row4", "row5"]
+    assert all(r[n] == f"{n}{r.row[3:]}" for r in held for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(held)
+
+
 def test_stages_take_empty_tables(spark, tmp_path):
     docs = pipeline_docs(spark)[1].where("doc_id < 0")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
