@@ -95,6 +95,17 @@ def test_quality_without_rows_or_labels(spark):
     assert not ratios.any() and quality.judge(none, ratios).count() == 0
 
 
+def test_quality_of_very_long_texts(spark):
+    """Texts above the megabytes that are handed over at once are counted whole."""
+    long = "uno due tre\n" + " ".join(f"w{i % 5000}" for i in range(600_000)) + "\nuno due tre\n#*|"
+    docs = spark.createDataFrame([(1, long), (2, "x" * 3_000_000), (3, long)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in quality.judge(docs, quality.fit(docs, docs.select("doc_id").where("doc_id = 3"))).collect()}
+    assert len(long) > 2 << 20
+    assert (rows[1].n_words, rows[1].n_symbols, rows[1].n_dup_lines, rows[1].n_repeat_words) == (600_007, 3, 1, 600_006)
+    assert rows[1].word_chars == sum(map(len, long.split())) and rows[1].base_failed and rows[1].score == rows[3].score
+    assert (rows[2].n_words, rows[2].word_chars, rows[2].n_repeat_words, rows[2].kept) == (1, 3_000_000, 0, False)
+
+
 def test_bpe_equals_the_library_and_comes_back(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
