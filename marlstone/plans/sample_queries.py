@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import lexicons
 from marlstone.functions import text as tx
-from marlstone.operators import chunking, facts, media, notes, retrieval, structure
+from marlstone.operators import chunking, facts, geometry, media, notes, retrieval, structure
 from marlstone.plans.catalogue import register
 from marlstone.plans.conversation_queries import _QUOTE_FORM, SENTENCES
 from marlstone.sources import readers
@@ -830,3 +830,78 @@ def model_throughput(runs: DataFrame) -> DataFrame:
 def changed_work(work: DataFrame, done: DataFrame) -> DataFrame:
     """Pending by fingerprint: what was never done, or has another text since."""
     return structure.pending(work.select("note", media.fingerprint(F.col("text")).alias("hash")), done, keys=["note", "hash"])
+
+
+def _boxes(page: int, *words: tuple[float, float, float, float, str]) -> list[tuple]:
+    """Words by left and upper edge, height and width."""
+    return [(1, page, float(x), float(y), float(x + w), float(y + h), t) for x, y, h, w, t in words]
+
+
+#: Page 1: a line of prose, a table of three rows of four numbers, a ragged last row, text. Page 2: a
+#: formula with a raised and a lowered word, prose. Page 3: two formulas in two columns. Page 4: numbers
+#: in a formula that touches a table.
+BOXES = Rows(
+    "doc_id bigint, page int, x0 double, y0 double, x1 double, y1 double, txt string",
+    tuple(
+        _boxes(1, *((40 * i, 0, 10, 30, "parola") for i in range(30)), *((100 * c, 20 + 12 * r, 10, 20, str(10 * r + c)) for r in range(3) for c in range(4)), (0, 56, 10, 20, "99"), (0, 70, 10, 60, "testo"))
+        + _boxes(2, (0, 0, 10, 8, "s"), (9, -1, 6, 4, "2"), (20, 0, 10, 8, "="), (35, 0, 10, 8, "n"), (44, 7, 6, 4, "i"), (55, 0, 10, 8, "+"), (70, 0, 10, 8, "1"), *((60 * i, 40, 10, 50, "prosa") for i in range(4)))
+        + _boxes(3, (0, 0, 10, 8, "a"), (12, 0, 10, 8, "="), (24, 0, 10, 8, "∞"), (200, 0, 10, 8, "c"), (212, 0, 10, 8, "≤"), (224, 0, 10, 8, "∞"))
+    ),
+)
+
+
+@sample(
+    "stated_page_structure",
+    {"w": BOXES},
+    """SELECT * FROM (VALUES (1::BIGINT, 1, 'table', 0, 0.0::DOUBLE, 20.0::DOUBLE, 320.0::DOUBLE, 66.0::DOUBLE, NULL), (1, 2, 'formula', 0, NULL, NULL, NULL, NULL, 's^2 = n_i + 1'),
+    (1, 3, 'formula', 0, NULL, NULL, NULL, NULL, 'a = ∞' || chr(10) || 'c ≤ ∞')) AS t(doc_id, page, kind, block, x0, y0, x1, y1, body)""",
+)
+def stated_page_structure(words: DataFrame) -> DataFrame:
+    """W5 with P12, J10, W6, W13, P13, W7. The SQL states what a reader sees."""
+    return geometry.page_structure(words)
+
+
+@sample(
+    "stated_page_texts",
+    {"w": BOXES},
+    """AND p AS (SELECT page, string_agg(txt, ' ' ORDER BY y0, x0) AS prose FROM w GROUP BY page), c AS (SELECT page, string_agg(line, chr(10) ORDER BY y0) AS crop FROM (SELECT page, y0, string_agg(txt, ' ' ORDER BY x0) AS line FROM w WHERE page = 1 AND y0 BETWEEN 20 AND 56 GROUP BY page, y0) GROUP BY page)
+    SELECT page, prose || CASE page WHEN 1 THEN chr(10) || chr(10) || '<!-- tabella pag 1 blocco 1 -->' || chr(10) || chr(10) || '```' || chr(10) || chr(10) || crop || chr(10) || chr(10) || '```' ELSE chr(10) || chr(10) || '<!-- formula pag ' || page || ' blocco 1 -->' || chr(10) || chr(10) || '```' || chr(10) || chr(10) || CASE page WHEN 2 THEN 's^2 = n_i + 1' ELSE 'a = ∞' || chr(10) || 'c ≤ ∞' END || chr(10) || chr(10) || '```' END AS body FROM p LEFT JOIN c USING (page)""",
+)
+def stated_page_texts(words: DataFrame) -> DataFrame:
+    """F27, F28."""
+    found = geometry.page_texts(words)
+    return found.select("page", notes.page_body(F.col("prose"), F.col("tables"), F.col("formulas"), F.col("page")).alias("body"))
+
+
+LONG = Rows(
+    "id bigint, text string",
+    (
+        (1, "# A\n" + "x " * 200 + "\n# B\n" + "y " * 200),
+        (2, "breve"),
+        (3, "uno. " * 90 + "\n\n" + "due. " * 90),
+        (4, "a" * 300 + " " + "b" * 300),
+        (5, None),
+    ),
+)
+
+
+@sample(
+    "stated_chunks",
+    {"l": LONG},
+    """SELECT * FROM (SELECT 1::BIGINT AS id, 0 AS part, '# A' || chr(10) || trim(repeat('x ', 200)) AS chunk UNION ALL SELECT 1, 1, '# B' || chr(10) || trim(repeat('y ', 200)) UNION ALL SELECT 2, 0, 'breve'
+    UNION ALL SELECT 3, 0, trim(repeat('uno. ', 90)) UNION ALL SELECT 3, 1, trim(repeat('due. ', 90)) UNION ALL SELECT 4, 0, repeat('a', 300) UNION ALL SELECT 4, 1, repeat('b', 300))""",
+)
+def stated_chunks(long: DataFrame) -> DataFrame:
+    """cut at titles, paragraphs and words. The SQL states the parts."""
+    return long.select("id", F.posexplode(chunking.chunks(F.col("text"), 500)["chunks"]).alias("part", "chunk")).withColumn("chunk", F.trim("chunk"))
+
+
+@sample(
+    "stated_coverage",
+    {"l": LONG},
+    "SELECT 4::BIGINT AS n_sources, 1::BIGINT AS n_left_out, 3::BIGINT AS n_divided, 6::BIGINT AS n_chunks",
+)
+def stated_coverage(long: DataFrame) -> DataFrame:
+    """One is too short, three are cut in two."""
+    told = long.where("text is not null").select("text", chunking.chunks(F.col("text"), 500).alias("parts"))
+    return chunking.coverage(told).select("n_sources", "n_left_out", "n_divided", "n_chunks")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,6 +194,11 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = each.groupBy("label", "i").agg(F.sum(F.round(F.col("x") * 1e6).cast("long")).cast("double").alias("c"))
     centres = sums.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda s: s["c"]).alias("c"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    # a row for each label, whose number the table's design fixes
-    met = vectors.drop("label").crossJoin(F.broadcast(centres)).withColumn("cosine", F.round(dot("v", "c") / F.sqrt(dot("c", "c")) / F.sqrt(dot("v", "v")), 5))
-    return retrieval.top(met, "label", F.col("cosine"), "vec_id", 5).select("label", "vec_id", "cosine", (F.col("pos") + 1).alias("place"))
+    # rows of labels are broadcast a thousand at a time, about
+    parts = max(1, -(-centres.count() // 1000))
+    tops = []
+    for part in range(parts):
+        some = F.broadcast(centres.where(F.pmod(F.xxhash64("label"), F.lit(parts)) == part))
+        met = vectors.drop("label").crossJoin(some).withColumn("cosine", F.round(dot("v", "c") / F.sqrt(dot("c", "c")) / F.sqrt(dot("v", "v")), 5))
+        tops.append(retrieval.top(met, "label", F.col("cosine"), "vec_id", 5).select("label", "vec_id", "cosine", (F.col("pos") + 1).alias("place")))
+    return reduce(DataFrame.unionByName, tops)
