@@ -24,7 +24,7 @@ crc32 of all that, and the blocks. Where a checksum fails, an error names the bl
 Files are values of a binary column, written as Parquet by Spark, so they go to whatever store
 Spark can reach; a task's partial output never counts. Rows are dealt out by ranges of the id,
 files are numbered by their range and place in it, and what a document's place needs from other
-files is a running sum over one row for each file.
+files is a running sum over one row for each range, and within a range one for each file.
 
 Defined results: null is the empty text, with the end id alone; null ids come first; repeated rows
 and equal ids are kept, by hashes of their texts; an empty table gives no files and no rows.
@@ -323,9 +323,10 @@ def to_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     ids of their documents. Every text is followed by ``end_id``."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("number", T.IntegerType()), T.StructField("n_ids", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("content", T.BinaryType())])
-    # ranges are sampled by the driver, which so gets hashes instead of texts
-    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
-    ordered = keyed.repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text").select("id", "text")
+    # ranges are sampled by the driver, which so gets hashes instead of texts; rows that are equal in
+    # both can stand in any order, so their places part them, however many there are
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = keyed.repartitionByRange("id", "hash", "place").sortWithinPartitions("id", "hash", "text").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path)
@@ -357,8 +358,11 @@ def to_files(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
 
 def from_files(files: DataFrame, id_col: str, id_type: T.DataType) -> DataFrame:
     """``id_col, start, ids``: documents of the files, ids as little-endian unsigned 32-bit integers."""
-    order = files.select("part", "number", "n_ids").withColumn("base", F.sum("n_ids").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)))
-    order = order.select("part", "number", F.coalesce("base", F.lit(0)).alias("base"))
+    before = lambda window: F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row for each range, as many as the session has shuffle partitions, then files within ranges
+    ranges = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", before(Window.orderBy("part")).alias("base"))
+    order = files.select("part", "number", before(Window.partitionBy("part").orderBy("number")).alias("within")).join(F.broadcast(ranges), "part")
+    order = order.select("part", "number", (F.col("base") + F.col("within")).alias("base"))
     # a few bytes for each file; with very many files the contents are shuffled instead
     placed = files.join(F.broadcast(order) if files.count() <= MOST_FILES else order, ["part", "number"])
     schema = T.StructType([T.StructField("id", id_type), T.StructField("start", T.LongType()), T.StructField("ids", T.BinaryType())])
