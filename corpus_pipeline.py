@@ -6,6 +6,8 @@ the last return the columns of ``docs``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,36 +16,41 @@ from marlstone.llm import neardup, packing, ppm, quality, secrets
 from marlstone.session import shared_folder, table
 
 
-def _others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c != "doc_id")
+def _kept(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...], Callable[[DataFrame], DataFrame]]:
+    """``docs`` with its columns named so that none clashes with what an operator adds, the names of all
+    but the id and the text, and the way back to the columns of ``docs``."""
+    names = {c: c if c in ("doc_id", "text") else f"held_{i}" for i, c in enumerate(docs.columns)}
+    others = tuple(n for c, n in names.items() if n not in ("doc_id", "text"))
+    return docs.toDF(*names.values()), others, lambda found: found.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the counts and whose byte n-grams are not much rarer among good
     documents than in the corpus: their mean log ratio is -0.6 or more."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
-    judged = quality.judge(docs, quality.fit(docs, trusted), keep=_others(docs))
-    return judged.where("kept").select(*docs.columns)
+    own, others, back = _kept(docs)
+    return back(quality.judge(own, quality.fit(own, trusted), keep=("text", *others)).where("kept"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known and as likely as all others together."""
-    found = ppm.identify(docs, ppm.learn(docs), keep=_others(docs))
-    return found.where("lang_pred != 'und' and score >= 0.5").select(*docs.columns)
+    own, others, back = _kept(docs)
+    return back(ppm.identify(own, ppm.learn(docs), keep=("text", *others)).where("lang_pred != 'und' and score >= 0.5"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class."""
-    return neardup.near_duplicates(docs, keep=_others(docs)).where("representative").select(*docs.columns)
+    own, others, back = _kept(docs)
+    return back(neardup.near_duplicates(own, keep=("text", *others)).where("representative"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets; ``n_chars`` follows the text."""
-    found = secrets.scan_secrets(docs, keep=tuple(c for c in _others(docs) if c != "text"), mask="[secret]")
-    found = found.withColumn("text", F.col("masked"))
+    own, others, back = _kept(docs)
+    found = back(secrets.scan_secrets(own, keep=others, mask="[secret]").withColumnRenamed("masked", "text"))
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found
 
 
 def best_two_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
