@@ -40,8 +40,8 @@ from marlstone.session import stored
 CORNERS, SCALES = 24, (1.0, 0.8)
 RADIUS, TESTS, TURNS = 12, 192, 36
 TABLES, DISTANCE, INLIERS, SMALL = TESTS // 32, 48, 4, 16
-#: Bytes of images that are described at once, unless one has more: a pixel takes some 100 bytes meanwhile.
-AT_ONCE = 1 << 20
+#: Bytes of images that are described at once, unless one has more: a pixel takes some 100 bytes meanwhile, more where corners are close.
+AT_ONCE = 256 << 10
 #: Corners of a block in larger buckets, about.
 BLOCK = 1024
 _HEADER = regex.compile(rb"P([56])\s+(?:#[^\n]*\s+)*(\d+)\s+(?:#[^\n]*\s+)*(\d+)\s+(?:#[^\n]*\s+)*(\d+)\s", regex.A)
