@@ -76,15 +76,19 @@ def _opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(asked.withColumnRenamed("text", "query"), "query_id").join(docs.select("doc_id", "text"), "doc_id")
 
 
-OPENED = f"""{OVERLAP},
-first AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, doc_id) - 1 AS pos FROM overlap QUALIFY pos < 3),
-opened AS (SELECT f.*, b.text AS query, d.text FROM first f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d USING (doc_id)),
+#: Paragraphs of what was opened (query_id, doc_id, pos, query, text), and their scores.
+SCORED = f"""
 pieces AS (SELECT *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 80) AS ps, {_keys('query')} AS keys FROM opened),
 scored AS (SELECT query_id, doc_id, pos, i, p, len(ps) AS n, list_position(ps, p) AS place,
   CASE WHEN regexp_matches(p, '(?i){retrieval.lexicons.BOILERPLATE}') THEN 0.0::DOUBLE
   ELSE len(list_intersect(keys, {_keys('p')})) / (1.0::DOUBLE + length(p) / 800.0::DOUBLE) + 0.35::DOUBLE * (1.0::DOUBLE - i / greatest(n, 1)::DOUBLE) END AS score
   FROM (SELECT query_id, doc_id, pos, ps, keys, unnest(range(len(ps))) AS i, unnest(ps) AS p FROM pieces))"""
 
+OPENED = f"""{OVERLAP},
+first AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, doc_id) - 1 AS pos FROM overlap QUALIFY pos < 3),
+opened AS (SELECT f.*, b.text AS query, d.text FROM first f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d USING (doc_id)),
+{SCORED}"""
+
 
 @register("passage_score", f"WITH {OPENED} SELECT query_id, doc_id, i::INTEGER AS paragraph, round(score, 9) AS score FROM scored")
 def passage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +98,8 @@ def passage_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("query_id", "doc_id", "paragraph", F.round(score, 9).alias("score"))
 
 
-PACKED = f"""WITH RECURSIVE {OPENED},
+#: The best paragraphs of each text that fit, taken one by one, and the passage they make.
+WALK = f"""
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, i) AS r FROM scored),
 walk AS (
   SELECT query_id, doc_id, 0::BIGINT AS r, 0::BIGINT AS total, false AS done, []::STRUCT(place INTEGER, i BIGINT, p VARCHAR)[] AS held FROM pieces
@@ -102,11 +107,15 @@ walk AS (
   SELECT w.query_id, w.doc_id, k.r, CASE WHEN take THEN total + length(k.p) ELSE total END, done OR (take AND total + length(k.p) > 0.8 * 340),
     CASE WHEN take THEN list_append(held, {{'place': k.place::INTEGER, 'i': k.i::BIGINT, 'p': k.p}}) ELSE held END
   FROM (SELECT w.*, NOT done AND total + length(k.p) <= 340 AS take, k AS k FROM walk w JOIN ranked k ON k.query_id = w.query_id AND k.doc_id = w.doc_id AND k.r = w.r + 1) w),
-ends AS (SELECT query_id, doc_id, arg_max(held, r) AS held FROM walk GROUP BY ALL)
-SELECT o.query_id, o.doc_id, CASE
-  WHEN len(ps) = 0 THEN trim(regexp_replace(text, '\\s+', ' ', 'g'))[1:340]
-  WHEN len(held) = 0 THEN trim(regexp_replace((SELECT p FROM ranked k WHERE k.query_id = o.query_id AND k.doc_id = o.doc_id AND k.r = 1), '\\s+', ' ', 'g'))[1:340]
-  ELSE array_to_string(list_transform(list_sort(held), lambda x: x.p), chr(10) || chr(10)) END AS passage
+ends AS (SELECT query_id, doc_id, arg_max(held, r) AS held FROM walk GROUP BY ALL)"""
+PASSAGE = r"""CASE
+  WHEN len(ps) = 0 THEN trim(regexp_replace(text, '\s+', ' ', 'g'))[1:340]
+  WHEN len(held) = 0 THEN trim(regexp_replace((SELECT p FROM ranked k WHERE k.query_id = o.query_id AND k.doc_id = o.doc_id AND k.r = 1), '\s+', ' ', 'g'))[1:340]
+  ELSE array_to_string(list_transform(list_sort(held), lambda x: x.p), chr(10) || chr(10)) END"""
+
+PACKED = f"""WITH RECURSIVE {OPENED},
+{WALK}
+SELECT o.query_id, o.doc_id, {PASSAGE} AS passage
 FROM pieces o JOIN ends e ON e.query_id = o.query_id AND e.doc_id = o.doc_id"""
 
 
@@ -159,16 +168,41 @@ def link_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("page_id").agg(F.count_if(said).alias("n_lines"), F.count_if(said & is_link_line(F.col("line"))).alias("n_nav"))
 
 
-@register("page_text", rf"""WITH {MARKDOWN},
+PAGE_TEXT = rf"""{MARKDOWN},
 kept AS (SELECT page_id, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE trim(line) <> '' AND NOT nav) AS t FROM judged GROUP BY page_id),
 bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(t, ''), '!\[(?:[^\]\[]|\[[^\]]*\])*\]\([^)]*\)', '', 'g'),
   '\[((?:[^\]\[]|\[[^\]]*\])*)\]\([^)]*\)', '\1', 'g'), '(?m)^#{{1,6}}\s*', '', 'g'), '[*_`]{{1,3}}', '', 'g') AS t FROM kept),
-un AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM bare)
-SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS body FROM un""")
+un AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&#x27;', ''''), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM bare),
+bodies AS (SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) AS body FROM un)"""
+
+
+@register("page_text", f"WITH {PAGE_TEXT} SELECT page_id, body FROM bodies")
 def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", plain_text(html_markdown(F.col("html"))).alias("body"))
 
 
+@register("search_chain", f"""WITH RECURSIVE {SHORTLIST},
+{PAGE_TEXT.strip()},
+items AS (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n FROM benchmark),
+opened AS (SELECT s.query_id, s.page_id AS doc_id, s.place AS pos, b.text AS query, t.body AS text FROM short s JOIN items b ON b.k = s.query_id % b.n JOIN bodies t ON t.page_id = s.page_id),
+{SCORED},
+{WALK},
+passages AS (SELECT o.query_id, o.pos, o.doc_id, {PASSAGE} AS passage FROM pieces o JOIN ends e ON e.query_id = o.query_id AND e.doc_id = o.doc_id),
+blocks AS (SELECT p.query_id, p.pos, '- ' || site || chr(10) || '  ' || passage AS block FROM passages p JOIN short s ON s.query_id = p.query_id AND s.place = p.pos),
+total AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY pos) AS so_far FROM blocks)
+SELECT query_id, count(*) AS n_blocks, string_agg(block, chr(10) ORDER BY pos)[1:800] AS body FROM total WHERE so_far <= 800 OR pos = 1 GROUP BY query_id""")
+def search_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of twelve pages, dealt to the benchmark items in turn: shortlist, text of the pages that
+    remain, passages for the item's keywords, and as many blocks as the budget holds."""
+    asked = _asked(spark, sf_dir)
+    items = asked.select((F.row_number().over(Window.orderBy("query_id")) - 1).alias("k"), F.col("text").alias("query"))
+    short = retrieval.shortlist(_results(spark, sf_dir), by="query_id").withColumn("k", F.col("query_id") % max(1, asked.count())).join(items, "k")
+    opened = short.select("query_id", "place", "site", retrieval.keywords(F.col("query")).alias("keys"), plain_text(html_markdown(F.col("html"))).alias("text"))
+    found = opened.withColumn("ps", retrieval.paragraphs(F.col("text"))).withColumn("passage", retrieval.packed_passages(F.col("text"), F.col("keys"), F.col("ps"), 340))
+    blocks = found.select("query_id", F.col("place").alias("pos"), F.concat(F.lit("- "), "site", F.lit("\n  "), "passage").alias("block"))
+    return retrieval.budgeted(blocks, by="query_id", most=800)
+
+
 @register("bm25_documents", rf"""WITH asked AS (SELECT item_id AS query_id, unnest({_keys('text')}) AS word FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM d),
