@@ -29,11 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.llm.common import chunks
-from marlstone.llm.pieces import TOKEN_CHUNK, ended, library_encoder
+from marlstone.llm.pieces import ended, library_encoder
 
 #: Pieces of a group, about, and bytes of a token as they are guessed from. Where tokens are
 #: shorter, down to a byte, groups get four times as many at most.
 GROUP, TOKEN_BYTES = 8192, 4
+#: Bytes of text that are encoded at once, and entries that the encoder keeps: fewer than for token
+#: files, as other stages' workers live beside these.
+ENCODED, KEPT = 4 << 20, 200_000
 
 
 def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -46,8 +49,8 @@ def cut_documents(docs: DataFrame, path: str, *, size: int = 2048, end_id: int =
     schema = T.StructType([*(T.StructField(c, own.schema[c].dataType) for c in kept), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("row", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, row = library_encoder(path, True), TaskContext.get().partitionId() << 33
-        for part in chunks(batches, "_text", TOKEN_CHUNK):
+        encoder, row = library_encoder(path, True, KEPT), TaskContext.get().partitionId() << 33
+        for part in chunks(batches, "_text", ENCODED):
             flat, sizes = ended(*encoder([t or "" for t in part["_text"].to_pylist()]), end_id)
             flat = flat.astype("<u4")
             number = -(-sizes // size)

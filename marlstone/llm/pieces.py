@@ -215,8 +215,8 @@ class LibraryEncoder:
 
 
 @lru_cache(maxsize=4)
-def library_encoder(path: str, bare: bool = False) -> LibraryEncoder:
-    return LibraryEncoder(path, bare)
+def library_encoder(path: str, bare: bool = False, most: int = 700_000) -> LibraryEncoder:
+    return LibraryEncoder(path, bare, most=most)
 
 
 def ended(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

@@ -50,7 +50,7 @@ _MIX, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 class WordIds:
     """Numbers of words, and their 64-bit hashes, kept until there are ``most`` of them."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.ids, self.hashes = most, {}, np.zeros(1 << 16, np.uint64)
 
     def __call__(self, cut: list[list[bytes]]) -> np.ndarray:
