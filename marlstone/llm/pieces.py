@@ -11,6 +11,8 @@ Tokenizers that drop white space (``bare``), whose pattern also takes digits one
 lower-case, get pieces without it, each digit for itself, with A-Z in lower case unless the next
 character is beyond Latin-1 (normal forms may join them).
 
+The pieces that are kept are one Arrow array, in which Arrow finds a batch's distinct pieces.
+
 A piece that is a single pre-token goes to the library's model with many others in a string, without
 pre-tokenizer and normaliser; where each ends is told by its tokens' lengths. All others go to the
 library as they are. Texts with white space beyond ASCII go there whole.
@@ -21,10 +23,11 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once: more than elsewhere, as each distinct piece is looked up once.
 TOKEN_CHUNK = 10 << 20
@@ -34,10 +37,8 @@ _WIDE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 _NONE, _LETTER, _DIGIT, _OTHER, _SPACE, _WHITE = range(6)
 #: Lead byte of U+00C0 to U+00FF, which are letters but for these two (their second bytes).
 _LATIN, _SIGNS = 0xC3, (0x97, 0xB7)
-#: Pieces that are one pre-token for certain: after a space, if any, characters of one class.
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-_ONE = re.compile(rb" ?(?:" + _LETTERS + rb"|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
-_ONE_BARE = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+#: Second byte of the first of them that is in lower case.
+_LOWER = 0x9F
 #: Pieces of a string that goes to the model.
 _JOINED = 100
 
@@ -72,6 +73,21 @@ def byte_characters() -> str:
 _CLASS = _classes()
 
 
+def _kinds(flat: np.ndarray) -> np.ndarray:
+    """The class of each byte of whole characters."""
+    kind = _CLASS[flat]
+    latin = np.flatnonzero(flat[:-1] == _LATIN)
+    latin = latin[~np.isin(flat[latin + 1], _SIGNS)]
+    kind[latin] = kind[latin + 1] = _LETTER
+    return kind
+
+
+def _parts(pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of pieces, one after another, and their offsets."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1]
+    return np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 class LibraryEncoder:
     """Ids of texts. Where there are more than ``most`` entries, those stay that more than one batch
     has met. Pieces of more than ``longest`` bytes are not kept."""
@@ -89,13 +105,13 @@ class LibraryEncoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token.removesuffix("</w>") if bare else token)
-        # pieces are joined by a byte that none of them holds, which becomes the space
-        self.to_characters = dict(enumerate(byte_characters())) | {0: " "}
-        self.one, self.cuts = (_ONE_BARE if bare else _ONE).fullmatch, _cuts(bare)
+        self.characters = np.frombuffer(byte_characters().encode("utf-16-le"), "<u2")
+        self.cuts = _cuts(bare)
         self._empty()
 
     def _empty(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        # pieces that are kept, and where each of them stands among the entries
+        self.known, self.slots = pa.array([], pa.binary()), np.zeros(0, np.int64)
         self.ends, self.again, self.held = np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, self.dtype)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +133,7 @@ class LibraryEncoder:
         flat = np.frombuffer(b"".join(data), np.uint8)
         sizes = np.fromiter(map(len, data), np.int64, len(data))
         ends = np.cumsum(sizes)
-        kind = _CLASS[flat]
-        latin = np.flatnonzero(flat[:-1] == _LATIN)
-        latin = latin[~np.isin(flat[latin + 1], _SIGNS)]
-        kind[latin] = kind[latin + 1] = _LETTER
+        kind = _kinds(flat)
         starts = np.zeros(len(flat), bool)
         starts[1:] = self.cuts[(kind[:-1] << 3) | kind[1:]]
         starts[(ends - sizes)[sizes > 0]] = True
@@ -144,41 +157,45 @@ class LibraryEncoder:
         if not n:
             return np.zeros(0, self.dtype), np.zeros(len(texts), np.int64)
         coded = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
-        slot = self._slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        slot = self._slots(coded.dictionary)[coded.indices.to_numpy()]
         first, sizes = self.ends[slot], (self.ends[1:] - self.ends[:-1])[slot]
         ends = np.cumsum(sizes)
         place = np.repeat(first - (ends - sizes), sizes)
         place += np.arange(len(place))
         return self.held[place], np.diff(np.concatenate([[0], ends])[until], prepend=0)
 
-    def _slots(self, pieces: list[bytes]) -> np.ndarray:
+    def _slots(self, pieces: pa.BinaryArray) -> np.ndarray:
         """Where each of some distinct pieces stands among the entries."""
         if len(self.again) > self.most:
             self._shrink()
-        slot = np.fromiter(map(self.slots.get, pieces, repeat(-1)), np.int64, len(pieces))
-        self.again[slot[slot >= 0]] = True
-        new = np.flatnonzero(slot < 0)
+        at = pc.index_in(pieces, value_set=self.known).fill_null(-1).to_numpy()
+        old = at >= 0
+        slot = np.zeros(len(pieces), np.int64)
+        slot[old] = self.slots[at[old]]
+        self.again[slot[old]] = True
+        new = np.flatnonzero(~old)
         if len(new):
-            fresh = [pieces[i] for i in new.tolist()]
+            fresh = pieces.take(pa.array(new))
             ids, sizes = self._encode(fresh)
             first = len(self.again)
-            slot[new] = np.arange(first, first + len(fresh))
-            self.slots.update((piece, i) for i, piece in enumerate(fresh, first) if len(piece) <= self.longest)
-            self.again = np.concatenate([self.again, np.zeros(len(fresh), bool)])
+            slot[new] = np.arange(first, first + len(new))
+            kept = np.diff(_parts(fresh)[1]) <= self.longest
+            self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(kept))])
+            self.slots = np.concatenate([self.slots, first + np.flatnonzero(kept)])
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
             self.held = np.concatenate([self.held, ids.astype(self.dtype)])
         return slot
 
     def _shrink(self) -> None:
-        kept = [(piece, i) for piece, i in self.slots.items() if self.again[i]]
-        ends, held = self.ends, self.held
+        kept = self.again[self.slots]
+        known, old, ends, held = self.known.filter(pa.array(kept)), self.slots[kept], self.ends, self.held
         self._empty()
-        if kept and len(kept) < self.most // 2:
-            old = np.array([i for _, i in kept])
+        if len(old) and len(old) < self.most // 2:
             sizes = ends[old + 1] - ends[old]
-            self.slots = {piece: i for i, (piece, _) in enumerate(kept)}
+            self.known, self.slots = known, np.arange(len(old))
             self.ends = np.concatenate([[0], np.cumsum(sizes)])
-            self.again = np.zeros(len(kept), bool)
+            self.again = np.zeros(len(old), bool)
             self.held = held[np.repeat(ends[old] - self.ends[:-1], sizes) + np.arange(self.ends[-1])]
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,14 +203,29 @@ class LibraryEncoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter(chain.from_iterable(found), self.dtype, int(sizes.sum())), sizes
 
-    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _one(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which pieces are one pre-token for certain: after a space, if any, characters of one class."""
+        kind = _kinds(flat)
+        if self.bare:  # not yet in lower case
+            kind[(flat >= 65) & (flat <= 90)] = _NONE
+            upper = np.flatnonzero((flat[:-1] == _LATIN) & (flat[1:] < _LOWER))
+            kind[upper] = kind[upper + 1] = _NONE
+        begin, last = offsets[:-1], offsets[1:] - 1
+        if not self.bare:
+            begin = np.minimum(begin + (kind[begin] == _SPACE), last)
+        changes = np.concatenate([[0], np.cumsum(kind[1:] != kind[:-1])])
+        first = kind[begin]
+        one = (changes[begin] == changes[last]) & (first > _NONE) & (first < _SPACE)
+        return one & ((first != _DIGIT) | (begin == last)) if self.bare else one
+
+    def _encode(self, pieces: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all pieces, and their numbers."""
-        one = np.fromiter((self.one(p) is not None for p in pieces), bool, len(pieces))
-        singles = [p for p, o in zip(pieces, one.tolist(), strict=True) if o]
-        found = self._single(singles) if singles else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        one = self._one(*_parts(pieces))
+        singles = pieces if one.all() else pieces.filter(pa.array(one))
+        found = self._single(*_parts(singles)) if len(singles) else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
         if len(singles) == len(pieces):
             return found
-        rest = self._library([p.decode("utf-8", "surrogatepass") for p, o in zip(pieces, one.tolist(), strict=True) if not o])
+        rest = self._library([p.decode("utf-8", "surrogatepass") for p in pieces.filter(pa.array(~one)).to_pylist()])
         # all ids of the singles, then those of the others; taken in the pieces' order
         sizes, first = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         sizes[one], sizes[~one] = found[1], rest[1]
@@ -201,13 +233,17 @@ class LibraryEncoder:
         ends = np.cumsum(sizes)
         return np.concatenate([found[0], rest[0]])[np.repeat(first - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
-    def _single(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _single(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``_encode`` of pieces that are one pre-token each."""
-        strings = [b"\0".join(pieces[k : k + _JOINED]).decode("latin-1").translate(self.to_characters) for k in range(0, len(pieces), _JOINED)]
+        n, lengths = len(offsets) - 1, np.diff(offsets)
+        joined = np.full(len(flat) + n, ord(" "), "<u2")  # behind each piece, as no character of a byte is the space
+        joined[np.arange(len(flat)) + np.repeat(np.arange(n), lengths)] = self.characters[flat]
+        cuts = [*(offsets[:-1:_JOINED] + np.arange(0, n, _JOINED)).tolist(), len(joined)]
+        strings = [joined[a : b - 1].tobytes().decode("utf-16-le") for a, b in pairwise(cuts)]
         found = [x.ids for x in self.single.encode_batch_fast(strings, add_special_tokens=False)]
         ids = np.fromiter(chain.from_iterable(found), np.int64, sum(map(len, found)))
         covered = np.cumsum(self.bytes_of[ids])
-        wanted = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        wanted = offsets[1:]
         ends = np.searchsorted(covered, wanted) + 1
         if not len(ids) or ends[-1] != len(ids) or (covered[ends - 1] != wanted).any():
             raise ValueError("the vocabulary's tokens don't tell where a piece ends")

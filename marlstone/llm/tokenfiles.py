@@ -10,12 +10,13 @@ the file's ids, most frequent first, into ``CLASSES`` of equal weight; how often
 learned within the block, and within a class the file's counts hold. The weights of the
 predictions are learned as well: for each pair of confidences a block counts which prediction
 held. Weights and classes follow their counts from time to time, while coding. A range coder with
-48 bits turns that into bytes: one step decides among the two predictions and the classes, a
+62 bits turns that into words of 32: one step decides among the two predictions and the classes, a
 second one gives the id within its class where neither held. Sums are integers, so every machine
 decodes alike.
 
 A coder must go through a block id by id, but the blocks of a file don't wait for each other:
-step t of all of them is one set of numpy operations over an array with an element for each block.
+step t of up to ``LANES`` of them is one set of numpy operations over an array with an element for
+each block. How many go together changes nothing in the file.
 
 File: magic, sizes (numbers of ids, documents, blocks, used ids, bytes of lengths and table), the
 lengths of documents (zlib), the order-0 table (zlib), for each block its length and crc32, the
@@ -35,6 +36,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +49,11 @@ from marlstone.llm.common import chunks
 from marlstone.llm.pieces import TOKEN_CHUNK, ended, library_encoder
 from marlstone.session import shared_folder
 
-MAGIC = b"MTF2"
+MAGIC = b"MTF3"
 #: Ids of a block.
 BLOCK = 2048
+#: Blocks that are coded in step, at most. Their tables should stay in the caches.
+LANES = 3072
 #: Classes of order 0.
 CLASSES = 8
 #: Ids of a file, at most, unless one document has more. Bounds what a task holds.
@@ -58,8 +62,13 @@ FILE = 6 << 20
 MOST_FILES = 100_000
 #: Slots of each prediction table of a block; states of a block's weights; shift of a hash.
 _SLOTS, _STATES, _SHIFT = 256, 32, 56
-_HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64).view(np.int64)
-_FULL, _LOW = (1 << 48) - 1, 1 << 32
+_HASH = np.array([0x9E3779B97F4A7C15], dtype=np.uint64).view(np.int64)
+#: The coder's range at first, and below which it moves on by a word: a step divides it by 2^26 at most.
+_FULL, _LOW = 1 << 62, 1 << 30
+#: Steps after which weights and classes follow their counts: multiples of the first, and these.
+_REFRESH, _EARLY = 256, (16, 32, 64, 128)
+#: Steps whose ids are put in order at once.
+_TURN = 64
 #: Bits of the parts of 1 by which a class's ids, and (with 8 bits of weights) classes, are told.
 _ID_BITS, _CLASS_BITS = 16, 6
 _HEAD = struct.Struct("<4sQIIIII")
@@ -68,8 +77,8 @@ _HEAD = struct.Struct("<4sQIIIII")
 class Order0:
     """What order 0 knows of a file: its used ids and their counts of 1 to 65535, which are stored.
 
-    kind: the class of each id; share and before: of 2^16, in its class, in order of rank; id_at:
-    the id of each class and part."""
+    known: of each id its class, what stands before it in its class and its share there, less 1, both
+    of 2^16, in order of rank, as one number; id_at: the id of each class and part."""
 
     def __init__(self, used: np.ndarray, counts: np.ndarray):
         self.used, self.counts = used, counts
@@ -82,10 +91,10 @@ class Order0:
         some = size > 0  # what is left over goes to the class's most frequent id
         share[first[some]] += (1 << _ID_BITS) - np.add.reduceat(share, first[some])
         ends = np.cumsum(share)
-        self.share, self.before, self.kind = (np.zeros(int(used[-1]) + 1, np.int64) for _ in range(3))
-        self.share[ids], self.kind[ids] = share, kind
-        self.before[ids] = ends - share - (np.cumsum(some) - 1)[kind] * (1 << _ID_BITS)
-        self.id_at = np.zeros((CLASSES, 1 << _ID_BITS), np.int32)
+        before = ends - share - (np.cumsum(some) - 1)[kind] * (1 << _ID_BITS)
+        self.known = np.zeros(int(used[-1]) + 1, np.int64)
+        self.known[ids] = kind << 32 | before << 16 | share - 1
+        self.id_at = np.zeros((CLASSES, 1 << _ID_BITS), np.uint16)
         self.id_at[some] = np.repeat(ids, share).reshape(-1, 1 << _ID_BITS)
         self.id_at = self.id_at.ravel()
 
@@ -119,7 +128,7 @@ class _Classes:
     def after(self, step: int, number: np.ndarray) -> None:
         """number: CLASSES * block + class, of the blocks whose id came from order 0."""
         self.noted.append(number)
-        if step & 127 == 0 or step in (16, 32, 64):
+        if step % _REFRESH == 0 or step in _EARLY:
             self.counts += np.bincount(np.concatenate(self.noted), minlength=len(self.counts)).astype(np.int32)
             self.noted = []
             self.set()
@@ -132,155 +141,173 @@ class _Weights:
     def __init__(self, lanes: int):
         state = np.arange(_STATES)
         second, first, same = state >> 2 & 3, state & 3, state >> 4
-        start = np.stack([np.array([2, 6, 14, 30])[second] + 4 * same, np.array([2, 4, 8, 12])[first] * (1 - same) + 1, np.full(_STATES, 12)], axis=1)
-        self.counts, self.noted = np.tile(start.astype(np.int32), (lanes, 1, 1)).reshape(-1), []
+        start = np.stack([np.array([2, 6, 14, 30])[second] + 4 * same, np.array([2, 4, 8, 12])[first] * (1 - same) + 1, np.full(_STATES, 12)])
+        self.size = np.int64(lanes * _STATES)  # of the counts of one prediction, or of none
+        self.counts, self.noted = np.tile(start, lanes).ravel(), []
         self.set()
 
     def set(self) -> None:
-        n = self.counts.reshape(-1, 3)
-        total = n.sum(1)
-        two = np.clip(n[:, 0] * 256 // total, 4, 200)
-        one = np.clip(n[:, 1] * 256 // total, 4, 240 - two)
-        self.shares = (two + (one << 8)).astype(np.int32)
-
-    def after(self, step: int, held: np.ndarray) -> None:
-        """held: of each block its state and which prediction held, as one number."""
-        self.noted.append(held)
-        if step & 127 == 0 or step in (16, 32, 64):
-            self.counts += np.bincount(np.concatenate(self.noted), minlength=len(self.counts)).astype(np.int32)
+        n2, n1, n0 = self.counts.astype(np.int32).reshape(3, -1)
+        total = n2 + n1 + n0
+        two = np.clip((n2 << 8) // total, 4, 200).astype(np.int64)
+        both = two + np.clip((n1 << 8) // total, 4, 240 - two)
+        # order 2, both, and the classes, so many of 2^14 (2^14, 2^8) as one number
+        self.shares = two << _CLASS_BITS | both << _CLASS_BITS + 16 | (256 - both) << 32
+
+    def after(self, step: int, state: np.ndarray, kind: np.ndarray) -> None:
+        """Of each block its state, and which prediction held."""
+        self.noted.append(state + kind * self.size)
+        if step % _REFRESH == 0 or step in _EARLY:
+            self.counts += np.bincount(np.concatenate(self.noted), minlength=len(self.counts))
             self.noted = []
             self.set()
             self.counts -= self.counts >> 5
 
 
 class _Predictions:
-    """What order 2 and order 1 predict in each of ``lanes`` blocks."""
+    """What order 2 and order 1 predict in each of ``lanes`` blocks. Contexts of the same last id are
+    beside each other, in 64 bytes: eight slots for order 1, by a hash of that id, and eight for
+    order 2, by one of both ids."""
 
     def __init__(self, lanes: int):
-        self.slots2, self.slots1 = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
-        self.base, self.state_base = np.arange(lanes) * _SLOTS, np.arange(lanes) * _STATES
-        self.before = np.zeros(lanes, np.int64)
-        self.hashed = np.zeros(lanes, np.int64)
+        self.slots = np.zeros(lanes * 2 * _SLOTS, np.int32)
+        self.base, self.state_base = np.arange(lanes) * 2 * _SLOTS, np.arange(lanes) * _STATES
+        self.before, self.hashed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.weights = _Weights(lanes)
 
-    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Predicted ids of order 2 and 1, and their shares of 256."""
-        own = self.before * _HASH[0]
-        self.at1 = self.base + (own.view(np.uint64) >> _SHIFT).view(np.int64)
-        self.at2 = self.base + ((own * 31 + self.hashed).view(np.uint64) >> _SHIFT).view(np.int64)
-        self.hashed = self.before * _HASH[1]
-        self.slot1, self.slot2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
+    def look(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted ids of order 2 and 1, and the shares of the weights."""
+        own = self.before * _HASH
+        place = (own.view(np.uint64) >> _SHIFT).view(np.int64)
+        line = self.base + (place & -8)
+        self.at1 = line + place
+        self.at2 = line + (place & -8) + 8 + ((own * 31 + self.hashed).view(np.uint64) >> 61).view(np.int64)
+        self.hashed = own
+        self.slot1, self.slot2 = self.slots.take(self.at1), self.slots.take(self.at2)
         one, two = self.slot1 & 0xFFFF, self.slot2 & 0xFFFF
-        state = (self.slot2 >> 16) * 4 + (self.slot1 >> 16) + (one == two) * np.int32(16)
+        state = (self.slot2 >> 16 << 2) + (self.slot1 >> 16) + ((one == two).view(np.uint8) << 4)
         self.state = self.state_base + state
-        shares = self.weights.shares.take(self.state)
-        return two, one, (shares & 255).astype(np.int64), (shares >> 8).astype(np.int64)
-
-    def learn(self, ids: np.ndarray, two: np.ndarray, one: np.ndarray, kind: np.ndarray, step: int) -> None:
-        for slots, at, slot, hit in ((self.slots2, self.at2, self.slot2, ids == two), (self.slots1, self.at1, self.slot1, ids == one)):
-            less = np.where(slot > 0xFFFF, slot - 0x10000, ids)
-            slots[at] = np.where(hit, np.minimum(slot + 0x10000, 0x30000 | ids), less)
-        self.weights.after(step, self.state * 3 + kind)
+        return two, one, self.weights.shares.take(self.state)
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, kind: np.ndarray, step: int) -> None:
+        most = ids | 0x30000
+        for at, slot, hit in ((self.at2, self.slot2, hit2), (self.at1, self.slot1, hit1)):
+            # a step of confidence up, 3 at most, or down, and below 0 the new id
+            moved = np.minimum(slot + ((hit.astype(np.int32) << 17) - 0x10000), most)
+            self.slots[at] = np.where(moved < 0, ids, moved)
+        self.weights.after(step, self.state, kind)
         self.before = ids.astype(np.int64)
 
 
 def encode_blocks(ids: np.ndarray, table: Order0) -> list[bytes]:
-    """The bytes of each block. The last one is filled up with its first id."""
+    """The bytes of each block. The last one is filled up with its last id."""
     lanes = -(-len(ids) // BLOCK)
     width = min(BLOCK, len(ids))
-    grid = np.full(lanes * width, ids[-1], np.int32)
+    grid = np.full(lanes * width, ids[-1], np.uint16)
     grid[: len(ids)] = ids
-    steps = np.ascontiguousarray(grid.reshape(lanes, width).T)
-    most = 2 * width + 8
-    out, start = np.zeros(lanes * most, np.uint32), np.arange(lanes) * most
-    put = start.copy()
+    grid = grid.reshape(lanes, width)
+    return [block for a in range(0, lanes, LANES) for block in _encode_lanes(grid[a : a + LANES], table)]
+
+
+def _encode_lanes(grid: np.ndarray, table: Order0) -> list[bytes]:
+    lanes, width = grid.shape
+    # the words of all blocks, as they come, and the blocks they are of; of 33 bits, as a carry may be in them
+    words, owners, numbers = [], [], np.arange(lanes, dtype=np.uint16)
     low, reach = np.zeros(lanes, np.int64), np.full(lanes, _FULL, np.int64)
     known, classes = _Predictions(lanes), _Classes(lanes)
     for t in range(width):
-        x = steps[t]
-        two, one, share2, share1 = known.look()
-        hit2 = x == two
-        kind = np.where(hit2, 0, np.where(x == one, 1, 2))
+        if t % _TURN == 0:
+            steps = np.ascontiguousarray(grid[:, t : t + _TURN]).T.astype(np.int32, order="C")
+        x = steps[t % _TURN]
+        two, one, shares = known.look()
         part = reach >> 8 + _CLASS_BITS
-        edge2 = part * (share2 << _CLASS_BITS)
-        edge1 = edge2 + part * (share1 << _CLASS_BITS)
-        low += np.where(hit2, 0, np.where(kind == 1, edge2, edge1))
-        reach = np.where(hit2, edge2, edge1 - edge2)
-        rest = np.flatnonzero(kind == 2)
-        own = x.take(rest)
-        number = classes.base.take(rest) + table.kind.take(own)
-        unit = part.take(rest) * (256 - share2 - share1).take(rest)
+        edge2, edge1 = part * (shares & 0xFFFF), part * (shares >> 16 & 0xFFFF)
+        part *= shares >> 32
+        hit2, hit1 = x == two, x == one
+        kind = (~hit2).view(np.uint8) * (2 - hit1.view(np.uint8))
+        only1, rest = np.flatnonzero(kind == 1), np.flatnonzero(kind == 2)
+        own = table.known.take(x.take(rest))
+        number = classes.base.take(rest) + (own >> 32)
+        unit = part.take(rest)
         part = unit * classes.share.take(number) >> _ID_BITS
-        low[rest] += unit * classes.before.take(number) + part * table.before.take(own)
-        reach[rest] = part * table.share.take(own)
+        low[only1] += edge2.take(only1)
+        low[rest] += edge1.take(rest) + unit * classes.before.take(number) + part * (own >> 16 & 0xFFFF)
+        reach = edge2
+        reach[only1] = edge1.take(only1) - edge2.take(only1)
+        reach[rest] = part * ((own & 0xFFFF) + 1)
         short = np.flatnonzero(reach < _LOW)
-        while len(short):
-            some = low.take(short)
-            out[put.take(short)] = some >> 32
-            put[short] += 1
-            low[short] = (some & 0xFFFFFFFF) << 16
-            wider = reach.take(short) << 16
-            reach[short] = wider
-            short = short[wider < _LOW]
-        known.learn(x, two, one, kind, t + 1)
+        some = low.take(short)
+        words.append(some >> 30)
+        owners.append(numbers.take(short))
+        low[short] = (some & _LOW - 1) << 32
+        reach[short] = reach.take(short) << 32
+        known.learn(x, hit2, hit1, kind, t + 1)
         classes.after(t + 1, number)
-    for _ in range(3):
-        out[put] = low >> 32
-        put += 1
-        low = (low & 0xFFFFFFFF) << 16
-    while (over := np.flatnonzero(out > 0xFFFF)).size:  # a carry goes to the word before; no block begins with one
-        out[over] &= 0xFFFF
+    owner = np.concatenate([*owners, numbers, numbers])
+    out = np.concatenate([*words, low >> 30, (low & _LOW - 1) << 2]).take(np.argsort(owner, kind="stable"))
+    while (over := np.flatnonzero(out >> 32)).size:  # a carry goes to the word before; no block begins with one
+        out[over] &= 0xFFFFFFFF
         out[over - 1] += 1
-    words = out.astype("<u2")
-    return [words[a:b].tobytes() for a, b in zip(start.tolist(), put.tolist(), strict=True)]
+    data, ends = out.astype("<u4").tobytes(), 4 * np.cumsum(np.bincount(owner, minlength=lanes))
+    return [data[a:b] for a, b in pairwise([0, *ends.tolist()])]
 
 
 def decode_blocks(blocks: list[bytes], width: int, table: Order0) -> np.ndarray:
     """The ids of the blocks, ``width`` of each, one block after another."""
+    return np.concatenate([_decode_lanes(blocks[a : a + LANES], width, table) for a in range(0, len(blocks), LANES)])
+
+
+def _decode_lanes(blocks: list[bytes], width: int, table: Order0) -> np.ndarray:
     lanes = len(blocks)
-    ends = np.cumsum([len(b) // 2 for b in blocks])
-    # a block may be asked for a few words behind its end; what they hold doesn't matter
-    words = np.concatenate([np.frombuffer(b"".join(blocks), "<u2").astype(np.int64), np.zeros(8, np.int64)])
-    get = np.concatenate([[0], ends[:-1]])
-    code = words[get] << 32 | words[get + 1] << 16 | words[get + 2]
-    get = get + 3
+    words = np.frombuffer(b"".join(blocks), "<u4").astype(np.int64)
+    get = np.cumsum([0, *(len(b) // 4 for b in blocks[:-1])])
+    # the range has 62 bits, so what follows stands two bits before the words' borders
+    code = words.take(get) << 30 | words.take(get + 1) >> 2
+    words[:-1] = (words[:-1] & 3) << 30 | words[1:] >> 2
+    get += 1
     reach = np.full(lanes, _FULL, np.int64)
     known, classes = _Predictions(lanes), _Classes(lanes)
-    steps = np.zeros((width, lanes), np.uint16)
+    found = np.zeros((lanes, width), np.uint16)
+    steps = np.zeros((_TURN, lanes), np.uint16)
     for t in range(width):
-        two, one, share2, share1 = known.look()
+        two, one, shares = known.look()
         part = reach >> 8 + _CLASS_BITS
-        edge2 = part * (share2 << _CLASS_BITS)
-        edge1 = edge2 + part * (share1 << _CLASS_BITS)
+        edge2, edge1 = part * (shares & 0xFFFF), part * (shares >> 16 & 0xFFFF)
+        part *= shares >> 32
         past2, past1 = code >= edge2, code >= edge1
-        kind = past2.astype(np.int64) + past1
-        x = np.where(past2, one, two)
-        code -= np.where(past1, edge1, np.where(past2, edge2, 0))
-        reach = np.where(past2, edge1 - edge2, edge2)
-        rest = np.flatnonzero(past1)
-        left = code.take(rest)
-        unit = part.take(rest) * (256 - share2 - share1).take(rest)
-        # numbers below 2^53 and quotients below 2^16, so that the division of floats is exact
-        held = classes.class_at(rest, np.minimum((left / unit).astype(np.int64), (1 << _CLASS_BITS) - 1))
+        kind = past2.view(np.uint8) + past1.view(np.uint8)
+        only1, rest = np.flatnonzero(kind == 1), np.flatnonzero(past1)
+        left = code.take(rest) - edge1.take(rest)
+        unit = part.take(rest)
+        held = classes.class_at(rest, np.minimum(_quotient(left, unit), (1 << _CLASS_BITS) - 1)).astype(np.int64)
         number = classes.base.take(rest) + held
         left -= unit * classes.before.take(number)
         part = unit * classes.share.take(number) >> _ID_BITS
-        own = table.id_at.take((held.astype(np.int64) << _ID_BITS) + np.minimum((left / part).astype(np.int64), (1 << _ID_BITS) - 1))
-        x[rest] = own
-        code[rest] = left - part * table.before.take(own)
-        reach[rest] = part * table.share.take(own)
+        new = table.id_at.take((held << _ID_BITS) + np.minimum(_quotient(left, part), (1 << _ID_BITS) - 1))
+        own = table.known.take(new)
+        x = two
+        x[only1], x[rest] = one.take(only1), new
+        code[only1] -= edge2.take(only1)
+        code[rest] = left - part * (own >> 16 & 0xFFFF)
+        reach = edge2
+        reach[only1] = edge1.take(only1) - edge2.take(only1)
+        reach[rest] = part * ((own & 0xFFFF) + 1)
         short = np.flatnonzero(reach < _LOW)
-        while len(short):
-            where = get.take(short)
-            code[short] = code.take(short) << 16 | words.take(where, mode="clip")
-            get[short] = where + 1
-            wider = reach.take(short) << 16
-            reach[short] = wider
-            short = short[wider < _LOW]
-        steps[t] = x
-        known.learn(x, two, one, kind, t + 1)
+        where = get.take(short)
+        code[short] = code.take(short) << 32 | words.take(where, mode="clip")
+        get[short] = where + 1
+        reach[short] = reach.take(short) << 32
+        steps[t % _TURN] = x
+        if t % _TURN == _TURN - 1 or t == width - 1:
+            found[:, t - t % _TURN : t + 1] = steps[: t % _TURN + 1].T
+        known.learn(x, ~past2, x == one, kind, t + 1)
         classes.after(t + 1, number)
-    return np.ascontiguousarray(steps.T).reshape(-1)
+    return found.reshape(-1)
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a // b of numbers that aren't negative."""
+    return (a.view(np.uint64) // b.view(np.uint64)).view(np.int64)
 
 
 def pack_file(ids: np.ndarray, sizes: np.ndarray) -> bytes:

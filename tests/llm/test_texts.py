@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -369,6 +370,30 @@ def test_encoder_forgets_and_stays_right():
         assert np.frombuffer(encoder([f"a bb {i:05d} ccc"])[0], "<u4").tolist() == [1, 2, 5, 3]
 
 
+@pytest.mark.parametrize("bare", [False, True])
+def test_single_pre_tokens_are_told_from_bytes(bare):
+    """By class, all pieces of a batch at once, as a pattern tells it for each."""
+    letters = rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+" if bare else rb" ?(?:(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+    one = re.compile(letters + (rb"|[0-9]|[!-&(-/:-@\[-`{-~]+" if bare else rb"|[0-9]+|[!-&(-/:-@\[-`{-~]+)"))
+    rng = np.random.default_rng(11)
+    characters = list("aZm09!~'\x01\x7f×÷ßÀéÿŁ\n") + ([] if bare else [" "])
+    batch = ["".join(rng.choice(characters, size)).encode() for size in rng.integers(1, 4, 2000)]
+    batch += [c.encode() for c in characters] + [b"abc", b" abc", b"!?", b"12"][:: 2 if bare else 1]
+    encoder = pieces.LibraryEncoder(public_tokenizers.path("word_bpe_49k.json" if bare else "byte_bpe_50k.json"), bare)
+    found = encoder._one(*pieces._parts(pa.array([b"x", *batch], pa.binary())[1:]))
+    assert found.tolist() == [one.fullmatch(p) is not None for p in batch] and 100 < found.sum() < len(batch) - 100
+
+
+def test_kept_pieces_are_not_encoded_again():
+    encoder = pieces.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"), False, longest=8)
+    text = "some words " + "x" * 20 + " and some more words"
+    first, again = encoder([text])[0].tolist(), []
+    encode = encoder._encode
+    encoder._encode = lambda fresh: again.extend(fresh.to_pylist()) or encode(fresh)
+    assert encoder([text, "some words new"])[0].tolist()[: len(first)] == first
+    assert sorted(again) == [b" new", b" " + b"x" * 20] and len(encoder.known) == 6
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 2047, 2048, 2049, 5000])
 def test_token_file_round_trip(n):
     rng = np.random.default_rng(n)
@@ -379,6 +404,30 @@ def test_token_file_round_trip(n):
         assert (found == ids).all() and (lengths == sizes).all()
 
 
+def test_blocks_are_coded_in_groups(monkeypatch):
+    """What is held at once is bounded by the group, and the bytes of a block don't depend on it."""
+    monkeypatch.setattr(tokenfiles, "BLOCK", 64)
+    ids = (np.random.default_rng(5).zipf(1.2, 64 * 50 - 9) % 50257).astype("<u2")
+    table = tokenfiles.Order0.of(ids)
+    whole = tokenfiles.encode_blocks(ids, table)
+    assert (tokenfiles.decode_blocks(whole, 64, table)[: len(ids)] == ids).all()
+    held, look = [], tokenfiles._Predictions.look
+    monkeypatch.setattr(tokenfiles, "LANES", 7)
+    monkeypatch.setattr(tokenfiles._Predictions, "look", lambda self: held.append(len(self.base)) or look(self))
+    assert tokenfiles.encode_blocks(ids, table) == whole and max(held) == 7
+    assert (tokenfiles.decode_blocks(whole, 64, table)[: len(ids)] == ids).all() and max(held) == 7
+
+
+def test_rarest_ids_and_carries_come_back():
+    """Ids of the least share, one after another, and blocks whose words carry."""
+    ids = np.concatenate([np.zeros(40 * 2048, "<u2"), np.arange(1, 4097, dtype="<u2"), np.zeros(2048, "<u2"), np.full(2048, 50256, "<u2")])
+    found, _ = tokenfiles.unpack_file(tokenfiles.pack_file(ids, np.array([len(ids)])))
+    assert (found == ids).all()
+    for most in (2, 300, 50257):
+        ids = np.random.default_rng(most).integers(0, most, 6000).astype("<u2")
+        assert (tokenfiles.unpack_file(tokenfiles.pack_file(ids, np.array([6000])))[0] == ids).all()
+
+
 def test_damaged_block_is_named():
     data = bytearray(tokenfiles.pack_file(np.arange(9000).astype("<u2"), np.array([9000])))
     data[-3] ^= 1
