@@ -43,13 +43,14 @@ def with_end_pages(found: DataFrame, pages: Column | str) -> DataFrame:
     return found.withColumn("page_end", F.greatest("page", F.coalesce(following - 1, F.col(pages) if isinstance(pages, str) else pages)))
 
 
-def numbered(found: DataFrame) -> DataFrame:
+def numbered(found: DataFrame, *, own: str | None = NUMBERED) -> DataFrame:
     """Number: chapters with parts below count from 1; one without has none and makes the
-    count begin anew. Titles that have numbers get none and count nothing.
+    count begin anew. Titles that have numbers get none and count nothing; those match ``own``, and
+    with None each title counts, as where digits that begin one are no section's number.
     """
     order = Window.partitionBy("doc_id").orderBy("seq")
     kid = (F.col("level") == 1) & (F.lead("level", 1, 1).over(order) > 1)
-    counted = found.withColumn("_kid", kid).withColumn("_own", ~F.col("title").rlike(NUMBERED))
+    counted = found.withColumn("_kid", kid).withColumn("_own", F.lit(True) if own is None else ~F.col("title").rlike(own))
 
     def running(column: Column, *keys: str) -> Column:
         return F.sum(F.when(column, 1).otherwise(0)).over(Window.partitionBy("doc_id", *keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
@@ -67,11 +68,16 @@ def numbered(found: DataFrame) -> DataFrame:
     return counted.withColumn("number", text).drop("_kid", "_own", "_island", "_chapter", "_cap", "_sub", "_subsub")
 
 
-def named(found: DataFrame, label: Column | str) -> DataFrame:
+def named(found: DataFrame, label: Column | str, *, counted: bool = False) -> DataFrame:
     """Name: label, number and title; a repeated one gets `` (2)``, `` (3)`` and so on, the first
-    that no section before it has. A document's sections are few, so their names are one array."""
+    that no section before it has. A document's sections are few, so their names are one array.
+    counted: how often the name came up to there instead, even if a title itself ends like that."""
     base = title_form(F.concat_ws(" ", label, "number", "title"))
     based = found.withColumn("_base", base)
+    if counted:
+        nth = F.row_number().over(Window.partitionBy("doc_id", "_base").orderBy("seq"))
+        each = based.withColumn("_nth", nth)
+        return each.withColumn("name", F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit(" ("), F.col("_nth").cast("string"), F.lit(")")))).drop("_base", "_nth")
     held = based.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "_base"))).alias("_all"))
 
     def step(used: Column, x: Column) -> Column:
