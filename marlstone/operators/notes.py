@@ -4,11 +4,12 @@ two-stage retrieval, overlapping sections."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import words
-from marlstone.operators import retrieval
+from marlstone.operators import geometry, retrieval
 
 #: Fixed value: prompt tokens from which a conversation is near its limit.
 NEAR_LIMIT = 52000
@@ -130,23 +131,42 @@ def tail(rows: DataFrame, *, by: str, order: list[str], most: int) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= most).drop("_nth")
 
 
-def styled_lines(pieces: DataFrame) -> DataFrame:
+def styled_lines(pieces: DataFrame | geometry.Laid) -> DataFrame:
     """``doc_id, page, line, top, size, text`` of pieces (doc_id, page, top, left_, width,
-    height, size, text).
+    height, size, text), or of texts that are set on pages.
 
     Pieces join a line while their baselines lie within 0.4 mean heights (0.5 at least) of the
     piece before; they are set close where the gap is up to 1.5, else a space apart.
     """
-    said = pieces.where("trim(text) != ''").withColumn("_base", F.col("top") + F.col("height"))
-    order = Window.partitionBy("doc_id", "page").orderBy("_base", "left_", "text")
-    mean = F.avg("height").over(Window.partitionBy("doc_id", "page"))
-    far = F.abs(F.col("_base") - F.lag("_base").over(order)) > F.greatest(F.lit(0.5), 0.4 * mean)
-    lined = said.withColumn("_far", F.coalesce(far, F.lit(False)).cast("int")).withColumn("line", F.sum("_far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    across = Window.partitionBy("doc_id", "page", "line").orderBy("left_", "text")
-    gap = F.col("left_") - F.lag(F.col("left_") + F.col("width")).over(across)
-    glued = lined.withColumn("_glue", F.when(gap > 1.5, " ").otherwise("")).withColumn("_nth", F.row_number().over(across))
-    held = F.array_sort(F.collect_list(F.struct("_nth", F.concat("_glue", F.trim("text")).alias("t"))))
-    return glued.groupBy("doc_id", "page", "line").agg(F.min("top").alias("top"), F.max("size").alias("size"), F.array_join(F.transform(held, lambda x: x["t"]), "").alias("text"))
+    if isinstance(pieces, DataFrame):
+        x0, y0 = F.col("left_").cast("double"), F.col("top").cast("double")
+        pieces = pieces.select("doc_id", "page", x0.alias("x0"), y0.alias("y0"), (x0 + F.col("width")).alias("x1"), (y0 + F.col("height")).alias("y1"), "size", F.col("text").alias("txt")).where("txt is not null")
+    return geometry.by_page(pieces, "line long, top double, size double, text string", _styled)
+
+
+def _in_order(first: np.ndarray, second: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Numbers of pieces by two values, and by text where both are equal."""
+    order = np.lexsort((second, first))
+    if ((np.diff(first[order]) == 0) & (np.diff(second[order]) == 0)).any():
+        order = np.array(sorted(order.tolist(), key=lambda i: (first[i], second[i], texts[i])))
+    return order
+
+
+def _styled(page: geometry.Page) -> list[tuple]:
+    """The lines of a page."""
+    said = np.array([i for i, t in enumerate(page.txt) if t.strip(" ")], int)
+    if not len(said):
+        return []
+    x0, y0, x1, y1, size = (v[said] for v in (page.x0, page.y0, page.x1, page.y1, page.size))
+    texts = [page.txt[i] for i in said.tolist()]
+    order = _in_order(y1, x0, texts)
+    cuts = np.flatnonzero(np.abs(np.diff(y1[order])) > max(0.5, 0.4 * float((y1 - y0).mean()))) + 1
+    out = []
+    for line, part in enumerate(np.split(order, cuts)):
+        part = part[_in_order(np.zeros(len(part)), x0[part], [texts[i] for i in part.tolist()])]
+        apart = np.concatenate([[False], x0[part[1:]] - x1[part[:-1]] > 1.5]).tolist()
+        out.append((line, y0[part].min(), size[part].max(), "".join([" " + texts[i].strip(" ") if far else texts[i].strip(" ") for i, far in zip(part.tolist(), apart, strict=True)])))
+    return out
 
 
 def parents(found: DataFrame) -> DataFrame:

@@ -43,8 +43,7 @@ def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("styled_lines", f"WITH {WORDS}, g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY doc_id, page, line ORDER BY x0, txt) AS back FROM lined WHERE trim(txt) <> '') SELECT doc_id, page, seq * 12.0::DOUBLE AS top, string_agg(CASE WHEN back > 1.5 THEN ' ' ELSE '' END || trim(txt), '' ORDER BY x0, txt) AS body FROM g GROUP BY doc_id, page, seq")
 def styled_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = _words(spark, sf_dir).select("doc_id", "page", F.col("y0").alias("top"), F.col("x0").alias("left_"), (F.col("x1") - F.col("x0")).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("size"), F.col("txt").alias("text"))
-    return notes.styled_lines(pieces).select("doc_id", "page", "top", F.col("text").alias("body"))
+    return notes.styled_lines(_words(spark, sf_dir)).select("doc_id", "page", "top", F.col("text").alias("body"))
 
 
 @register("outline_parents", f"WITH {SECTIONS} SELECT e.doc_id, e.seq, max(p.seq) AS parent FROM ends e LEFT JOIN ends p ON p.doc_id = e.doc_id AND p.seq < e.seq AND p.level < e.level GROUP BY e.doc_id, e.seq")

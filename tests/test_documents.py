@@ -36,3 +36,16 @@ def test_titles_that_begin_with_digits_count(same):
 def test_names_are_counted(same):
     rows = same("section_numbering", [(1, "\n".join(f"{title}\n{'t' * 210}" for title in ("Capit (2)", "Capit", "Capit")))])
     assert sorted(r["name"] for r in rows) == ["Doc 1 Capit", "Doc 1 Capit (2)", "Doc 1 Capit (2)"]
+
+
+ODD = [(1, "uno due  1,5 tre\n\n 12 34 5.6 78 9012 3,4\nquattro\n5 1234 6 7890 8 9\n" + "parola " * 300), (2, None), (3, ""), (4, "\n\n\n\nè sola"), (5, "  "), (6, "a 1234 5678\nbb"), (6, "a 1234 5678\nbb")]
+NAMES = ["table_blocks"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_words_are_no_rows(spark, same, tmp_path, name):
+    """Texts are dealt out once, and neither words nor lines are sorted; texts of one document lie in each other."""
+    same(name, ODD)
+    plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("RepartitionByExpression") == 1
+    assert ("Window" in plan) == (name == "table_blocks")
