@@ -39,7 +39,7 @@ def test_names_are_counted(same):
 
 
 ODD = [(1, "uno due  1,5 tre\n\n 12 34 5.6 78 9012 3,4\nquattro\n5 1234 6 7890 8 9\n" + "parola " * 300), (2, None), (3, ""), (4, "\n\n\n\nè sola"), (5, "  "), (6, "a 1234 5678\nbb"), (6, "a 1234 5678\nbb")]
-NAMES = ["table_blocks", "line_islands"]
+NAMES = ["table_blocks", "line_islands", "styled_lines"]
 
 
 @pytest.mark.parametrize("name", NAMES)
