@@ -49,3 +49,19 @@ def test_words_are_no_rows(spark, same, tmp_path, name):
     plan = catalogue.queries()[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("RepartitionByExpression") == 1
     assert ("Window" in plan) == (name == "table_blocks")
+
+
+@pytest.mark.parametrize("name", ["page_structure"])
+def test_pages_are_made_in_the_worker(spark, tmp_path, name):
+    """Words aren't rows here either. The state of a page: a table of lines 3 and 4 with its ragged last row, and a formula."""
+    text = "uno\ndue\ntre\n1 4444 5 4444 1 2 3\n7 5555 6 5555 4 5 6\n99\n∞ = a"
+    spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = catalogue.queries()[name](spark, str(tmp_path))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan and plan.count("RepartitionByExpression") == 1
+    got = sorted(frame.collect(), key=lambda r: r.page)
+    if name == "page_structure":
+        assert [(r.page, r.kind, r.block, r.x0, r.y0, r.x1, r.y1, r.body) for r in got] == [(2, "table", 0, 0.0, 36.0, 174.0, 70.0, None), (3, "formula", 0, None, None, None, None, "∞ = a")]
+    else:
+        table = "1 4444 5 4444 1 2 3\n7 5555 6 5555 4 5 6\n99"
+        assert [(r.page, r.body) for r in got] == [(1, "uno due tre"), (2, f"1 4444 5 4444 1 2 3 7 5555 6 5555 4 5 6 99\n\n<!-- tabella pag 2 blocco 1 -->\n\n```\n\n{table}\n\n```"), (3, "∞ = a\n\n<!-- formula pag 3 blocco 1 -->\n\n```\n\n∞ = a\n\n```")]
