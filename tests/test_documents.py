@@ -51,7 +51,7 @@ def test_words_are_no_rows(spark, same, tmp_path, name):
     assert ("Window" in plan) == (name == "table_blocks")
 
 
-@pytest.mark.parametrize("name", ["page_structure"])
+@pytest.mark.parametrize("name", ["page_structure", "page_assembly"])
 def test_pages_are_made_in_the_worker(spark, tmp_path, name):
     """Words aren't rows here either. The state of a page: a table of lines 3 and 4 with its ragged last row, and a formula."""
     text = "uno\ndue\ntre\n1 4444 5 4444 1 2 3\n7 5555 6 5555 4 5 6\n99\n∞ = a"
