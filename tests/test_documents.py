@@ -1,8 +1,10 @@
 """Queries over documents on texts that the small tables lack, against their SQL."""
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from marlstone.operators import chunking
 from marlstone.plans import catalogue
 
 
@@ -65,3 +67,14 @@ def test_pages_are_made_in_the_worker(spark, tmp_path, name):
     else:
         table = "1 4444 5 4444 1 2 3\n7 5555 6 5555 4 5 6\n99"
         assert [(r.page, r.body) for r in got] == [(1, "uno due tre"), (2, f"1 4444 5 4444 1 2 3 7 5555 6 5555 4 5 6 99\n\n<!-- tabella pag 2 blocco 1 -->\n\n```\n\n{table}\n\n```"), (3, "∞ = a\n\n<!-- formula pag 3 blocco 1 -->\n\n```\n\n∞ = a\n\n```")]
+
+
+def test_chunks_go_in_pieces():
+    """A worker holds a piece of a batch's texts and chunks, not the batch's."""
+    texts = ["frase uno. " * 300, None, "", "x" * (chunking.AT_ONCE + 5), *["parola " * 2000] * 200]
+    pieces = list(chunking._pieces([pa.array(texts), pa.array(["breve"])], 1000))
+    assert sum(map(len, pieces)) == 205 and len(pieces) > 3
+    assert all(sum(len(c) for row in p.to_pylist() for c in row["chunks"] or []) <= chunking.AT_ONCE + 20_000 for p in pieces[1:])
+    rows = [row for p in pieces for row in p.to_pylist()]
+    assert rows[1] == {"chunks": None} | dict.fromkeys(chunking.LEVELS)
+    assert [(r["chunks"], {n: r[n] for n in chunking.LEVELS}) for r in rows[2:4]] == [chunking.chunked(t, 1000) for t in texts[2:4]]
